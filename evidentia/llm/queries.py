@@ -2,12 +2,50 @@
 
 from __future__ import annotations
 
-from evidentia.llm import near_duplicates
+from pyspark.sql import functions as F
+
+from evidentia.llm import near_duplicates, split, top_n
 from evidentia.plans.registry import Registry
 from evidentia.sources.tables import table
 
 R = Registry()
 
+# Problem 1: splitting at natural boundaries, by the `chunk` row of size_limits.
+def _limit(spark, d, purpose):
+    row = table(spark, d, "size_limits").where(F.col("purpose") == purpose).select("capacity", "overlap").first()
+    return {"limit": int(row.capacity), "overlap": int(row.overlap)}
+
+
+@R.query("p1_found")
+def p1_found(spark, d):
+    limit = _limit(spark, d, "chunk")
+    pieces = split.split_texts(table(spark, d, "corpus_chunks"), "chunk_id", "text", only_long=True, **limit)
+    return split.forced_stretches(pieces, limit["limit"]).select(F.col("id").alias("chunk_id"), "n_forced")
+
+
+@R.query("p1_pieces")
+def p1_pieces(spark, d):
+    """Every piece of every text that is too long, placed in the chunk by its metadata."""
+    limit = _limit(spark, d, "chunk")
+    pieces = split.split_texts(table(spark, d, "corpus_chunks"), "chunk_id", "text", only_long=True, keep=("doc_id", "metadata"), **limit)
+    place = F.struct(F.col("metadata.title").alias("title"), F.col("metadata.section").alias("section"), F.col("metadata.source_path").alias("source_path"), "char_start", "char_end")
+    return pieces.select("doc_id", F.col("id").alias("chunk_id"), "piece_no", "cut", "text", place.alias("metadata"))
+
+
+# Problem 3: top N of every group.
+_P3_FOUND = """
+select query_id, chunk_id, pos from (
+  select query_id, chunk_id, cast(row_number() over (partition by query_id order by s desc, chunk_id) as integer) as pos
+  from (select query_id, chunk_id, max(score) as s from fusion_results
+        where query_id is not null and chunk_id is not null and score is not null and not isnan(score) group by all)) where pos <= 10
+"""
+
+
+@R.query("p3_found", _P3_FOUND)
+def p3_found(spark, d):
+    return top_n.top_n_per_group(table(spark, d, "fusion_results"), "query_id", "score", "chunk_id", 10)
+
+
 # Problem 4: near-duplicate records with small edits. The table's definition: three words, 0.6, thirty words.
 _P4 = {"width": 3, "similarity": 0.6, "min_words": 30}
 
