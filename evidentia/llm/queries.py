@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidentia.llm import near_duplicates, split, top_n
+from evidentia.llm import near_duplicates, overlaps, split, top_n
 from evidentia.plans.registry import Registry
 from evidentia.sources.tables import table
 
@@ -71,6 +71,36 @@ def p4_groups(spark, d):
     return near_duplicates.near_duplicate_groups(table(spark, d, "corpus_chunks"), "chunk_id", "text", **_P4)
 
 
+# Problem 5: overlaps of the evaluation splits with train, by the table's definition.
+_P5 = {"id_col": "query_id", "text_col": "query", "key_col": "target_doc_id", "split_col": "split", "similarity": 0.75}
+
+_P5_RECORDS = r"""
+with r as (select query_id, list_distinct(regexp_extract_all(lower(min(query)), '[\p{L}\p{N}]+')) as w, min(split) as split, min(lower(trim(target_doc_id))) as k
+           from lf_examples where query_id is not null group by query_id),
+u as (select * from r where len(w) > 0 and k is not null and split is not null),
+m as (select a.query_id as train_id, b.query_id as test_id, len(list_intersect(a.w, b.w)) as c, len(a.w) as m, len(b.w) as n
+      from u a join u b on a.k = b.k where a.split = 'train' and b.split <> 'train'),
+f as (select * from m where c * 4 >= 3 * (m + n - c))
+"""
+
+
+@R.query("p5_found", _P5_RECORDS + "select least(train_id, test_id) as query_lo, greatest(train_id, test_id) as query_hi from f")
+def p5_found(spark, d):
+    return overlaps.overlap_pairs(table(spark, d, "lf_examples"), **_P5).toDF("query_lo", "query_hi")
+
+
+_P5_REPORT = """, b as (select test_id, bool_or(c = m and c = n) as same from f group by 1)
+select u.split, s.source, count(*) as n_records, count(*) filter (b.same) as n_same, count(*) filter (not b.same) as n_near
+from u join (select distinct query_id, coalesce(source, '(none)') as source from lf_examples) s using (query_id) left join b on b.test_id = u.query_id
+where u.split <> 'train' group by 1, 2
+"""
+
+
+@R.query("p5_report", _P5_RECORDS + _P5_REPORT)
+def p5_report(spark, d):
+    return overlaps.overlap_report(table(spark, d, "lf_examples"), source_col="source", **_P5)
+
+
 def queries():
     return R.queries
 
