@@ -37,7 +37,35 @@ from evidentia.session import cut
 
 #: Entries of one column that a single block multiplies with each other.
 HOT_COLUMN = 4096
-_ENTRY = np.dtype([("column", "<u8"), ("cls", "<i8"), ("size", "<i4"), ("place", "<i4"), ("band", "<i4"), ("side", "<i4")])
+#: A column is told from the others of its block by 32 bits; should two agree, a pair may be checked in vain.
+_ENTRY = np.dtype([("column", "<u4"), ("cls", "<i8"), ("size", "<i4"), ("place", "<i4"), ("band", "<u2"), ("side", "<u2")])
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("products", "<u4")])
+
+
+def _pack(rows: np.ndarray) -> bytes:
+    """The rows byte by byte, all first bytes of a field together: the many zero bytes compress well."""
+    return b"".join(np.ascontiguousarray(rows[f]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for f in rows.dtype.names)
+
+
+def _unpack(payloads: list[bytes], dtype: np.dtype) -> np.ndarray:
+    sizes = [len(x) // dtype.itemsize for x in payloads]
+    out, done = np.zeros(sum(sizes), dtype), 0
+    for payload, n in zip(payloads, sizes):
+        data, at = np.frombuffer(payload, np.uint8), 0
+        for f in dtype.names:
+            width = dtype[f].itemsize
+            out[f][done : done + n] = np.ascontiguousarray(data[at : at + n * width].reshape(width, n).T).view(dtype[f]).ravel()
+            at += n * width
+        done += n
+    return out
+
+
+def _packed_by(block: np.ndarray, rows: np.ndarray) -> list[pa.Array]:
+    """Rows of each block as one payload; rows must be in the order wanted within a block."""
+    order = np.argsort(block, kind="stable")
+    block, rows = block[order], rows[order]
+    edges = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+    return [pa.array(block[edges[:-1]], pa.int32()), pa.array([_pack(rows[a:b]) for a, b in zip(edges[:-1], edges[1:])], pa.binary())]
 
 
 def _classes(texts: list[str | None], width: int, min_words: int):
@@ -96,14 +124,13 @@ def _front(df: DataFrame, text_col: str, counts, n_blocks: int, width: int, min_
         waiting, held = [], 0
 
         def packed():
-            entries = np.concatenate(waiting)
-            block = (_text.mix(entries["column"] + (entries["band"] * 65536 + entries["side"]).astype(np.uint64)) % np.uint64(n_blocks)).astype(np.int32)
-            order = np.argsort(block, kind="stable")
-            block, entries = block[order], entries[order]
-            cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(block[cuts[:-1]]), pa.array([entries[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["block", "payload"]
-            )
+            entries, block = np.concatenate([x for x, _ in waiting]), np.concatenate([x for _, x in waiting])
+            order = np.argsort(entries["column"], kind="stable")
+            return pa.RecordBatch.from_arrays(_packed_by(block[order], entries[order]), ["block", "payload"])
+
+        def place_in(part, column):
+            spread = column + (part["band"].astype(np.uint64) * np.uint64(65536) + part["side"]) * np.uint64(0x9E3779B97F4A7C15)
+            waiting.append((part, (_text.mix(spread) % np.uint64(n_blocks)).astype(np.int32)))
 
         for _, texts in _text_batches(batches, "text"):
             _, ids, sizes, rows, runs = _classes(texts, width, min_words)
@@ -123,9 +150,11 @@ def _front(df: DataFrame, text_col: str, counts, n_blocks: int, width: int, min_
             # A count of one is exact: no other set has the run.
             front = (place <= size - np.ceil(similarity * size - 1e-9) + least - 1) & (seen > 1)
             entries = np.zeros(int(front.sum()), _ENTRY)
-            entries["column"], entries["cls"], entries["size"], entries["place"] = runs[front], ids[rows[front]], size[front], place[front]
+            column = runs[front]
+            entries["column"] = (column >> np.uint64(32)).astype(np.uint32)
+            entries["cls"], entries["size"], entries["place"] = ids[rows[front]], size[front], place[front]
             bands = np.maximum(1, -(-seen[front].astype(np.int64) // HOT_COLUMN))
-            waiting.append(entries[bands == 1])
+            place_in(entries[bands == 1], column[bands == 1])
             held += len(entries)
             for n in np.unique(bands[bands > 1]):
                 hot = entries[bands == n]
@@ -135,7 +164,7 @@ def _front(df: DataFrame, text_col: str, counts, n_blocks: int, width: int, min_
                     copy["band"], copy["side"] = np.minimum(own, other) + 1, np.maximum(own, other) + 1
                     # The sign tells the sides of a pair of bands apart.
                     copy["place"] = np.where(own > other, -copy["place"] - 1, copy["place"])
-                    waiting.append(copy)
+                    place_in(copy, column[bands == n])
                     held += len(copy)
             if held > 150_000:
                 yield packed()
@@ -147,16 +176,17 @@ def _front(df: DataFrame, text_col: str, counts, n_blocks: int, width: int, min_
     return source.mapInArrow(run, "block int, payload binary")
 
 
-def _product(similarity: float, least: int):
-    """Multiply one block of columns: the pairs of classes in it and how many products they keep."""
+def _product(similarity: float, least: int, n_blocks: int):
+    """Multiply one block of columns: the pairs of classes in it and their kept products, packed by block of pairs."""
     share = similarity / (1 + similarity)
 
     def run(table: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(x, _ENTRY) for x in table.column("payload").to_pylist()])
-        e = e[np.lexsort((e["cls"], e["size"], e["side"], e["band"], e["column"]))]
-        same = (e["column"][1:] == e["column"][:-1]) & (e["cls"][1:] == e["cls"][:-1]) & (e["band"][1:] == e["band"][:-1]) & (e["side"][1:] == e["side"][:-1])
-        e = e[np.concatenate(([True], ~same))]
-        column = _text.mix(e["column"] + (e["band"].astype(np.uint64) << np.uint64(40)) + (e["side"].astype(np.uint64) << np.uint64(20)))
+        e = _unpack(table.column("payload").to_pylist(), _ENTRY)
+        column = e["column"].astype(np.uint64) | (e["band"].astype(np.uint64) << np.uint64(32)) | (e["side"].astype(np.uint64) << np.uint64(48))
+        order = np.lexsort((e["cls"], e["size"], column))
+        e, column = e[order], column[order]
+        new = np.concatenate(([True], (column[1:] != column[:-1]) | (e["cls"][1:] != e["cls"][:-1])))
+        e, column = e[new], column[new]
         size, cls = e["size"].astype(np.int64), e["cls"]
         flipped, place = e["place"] < 0, np.where(e["place"] < 0, -e["place"].astype(np.int64) - 1, e["place"])
         across = e["band"] != e["side"]
@@ -171,20 +201,38 @@ def _product(similarity: float, least: int):
             need = np.ceil(share * (size[at] + size[to]) - 1e-9).astype(np.int64)
             p, q, m, n = place[at], place[to], size[at], size[to]
             good = (p <= m - need + least - 1) & (q <= n - need + least - 1)
-            good &= np.minimum(p, q) + 1 + np.minimum(m - p, n - q) - 1 >= need
+            good &= np.minimum(p, q) + np.minimum(m - p, n - q) >= need
             good &= ~across[at] | (flipped[at] != flipped[to])
             i, j = at[good], to[good]
             if len(i):
-                swap = cls[i] > cls[j]
-                found.append((np.where(swap, cls[j], cls[i]), np.where(swap, cls[i], cls[j]), need[good]))
-        if not found:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "need": pa.array([], pa.int32()), "products": pa.array([], pa.int32())})
-        a, b, need = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((b, a))
-        a, b, need = a[order], b[order], need[order]
-        cuts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True])))
-        at = cuts[:-1]
-        return pa.table({"a": a[at], "b": b[at], "need": need[at].astype(np.int32), "products": np.diff(cuts).astype(np.int32)})
+                # Where fewer than `least` shared columns may do, each counts for more.
+                weight = -(-least // np.minimum(least, np.maximum(1, need[good])))
+                found.append((np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), weight))
+        pairs = np.zeros(sum(len(x) for x, _, _ in found), _PAIR)
+        if len(pairs):
+            pairs["a"], pairs["b"], pairs["products"] = (np.concatenate(x) for x in zip(*found))
+            pairs = _summed(pairs)
+        block = (_text.mix(pairs["a"].view(np.uint64) ^ _text.mix(pairs["b"].view(np.uint64))) % np.uint64(n_blocks)).astype(np.int32)
+        return pa.table(dict(zip(("block", "payload"), _packed_by(block, pairs))))
+
+    return run
+
+
+def _summed(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+    starts = np.flatnonzero(np.concatenate(([True], (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1]))))
+    out = pairs[starts]
+    out["products"] = np.add.reduceat(pairs["products"], starts)
+    return out
+
+
+def _likely(least: int):
+    """The pairs of one block of pairs whose products reach the bound."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pairs = _summed(_unpack(table.column("payload").to_pylist(), _PAIR))
+        pairs = pairs[pairs["products"] >= least]
+        return pa.table({"a": np.ascontiguousarray(pairs["a"]), "b": np.ascontiguousarray(pairs["b"])})
 
     return run
 
@@ -223,11 +271,8 @@ def similar_classes(
     total = signed.agg(F.sum((F.col("size") * (1 - similarity)).cast("long") + least).alias("n")).first().n or 0
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_entries))
     entries = _front(df, text_col, counts, n_blocks, width, min_words, similarity, least)
-    products = entries.groupBy("block").applyInArrow(_product(similarity, least), "a long, b long, need int, products int")
-    likely = cut(
-        products.groupBy("a", "b").agg(F.sum("products").alias("products"), F.max("need").alias("need")).where(F.col("products") >= F.least(F.lit(least), F.col("need"))).select("a", "b"),
-        "likely",
-    )
+    products = entries.groupBy("block").applyInArrow(_product(similarity, least, n_blocks), "block int, payload binary")
+    likely = cut(products.groupBy("block").applyInArrow(_likely(least), "a long, b long"), "likely")
 
     def mark(batches):
         table = _text.CountTable(sketch_bits)
