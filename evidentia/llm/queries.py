@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from evidentia.llm import near_duplicates, overlaps, split, top_n
+from evidentia.llm import mix, near_duplicates, overlaps, pack, split, tokens, top_n
 from evidentia.plans.registry import Registry
 from evidentia.sources.tables import table
 
@@ -101,6 +103,49 @@ def p5_report(spark, d):
     return overlaps.overlap_report(table(spark, d, "lf_examples"), source_col="source", **_P5)
 
 
+# Problem 6: packing whole documents, sized in tokens, into containers of each `pack_*` capacity.
+def _packings(spark, d):
+    sizes = tokens.token_sizes(table(spark, d, "documents"), "doc_id", "text")
+    limits = table(spark, d, "size_limits").where("purpose like 'pack\\_%' and unit = 'tokens'").select("purpose", "capacity").orderBy("purpose")
+    for row in limits.limit(100).collect():  # a row for each purpose, three in all
+        yield row.purpose, int(row.capacity), pack.pack(sizes, "id", "tokens", capacity=int(row.capacity))
+
+
+def _union(frames):
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+@R.query("p6_pack")
+def p6_pack(spark, d):
+    parts = [p.select(F.lit(purpose).alias("purpose"), F.col("id").alias("doc_id"), "piece_no", "container", "begin", "end") for purpose, _, p in _packings(spark, d)]
+    return _union(parts)
+
+
+@R.query("p6_summary")
+def p6_summary(spark, d):
+    parts = [pack.pack_summary(p, n).select(F.lit(purpose).alias("purpose"), F.lit(n).alias("capacity"), "*") for purpose, n, p in _packings(spark, d)]
+    return _union(parts)
+
+
+# Problem 7: the mix of mix_targets over domain (letters of the course code), language and source.
+def _mixed(spark, d):
+    documents = table(spark, d, "documents")
+    named = documents.select("doc_id", "text", "source", F.lower(F.trim("lang")).alias("lang"), F.nullif(F.regexp_extract("course_code", "^([A-Za-z]+)", 1), F.lit("")).alias("domain"))
+    sizes = tokens.token_sizes(named, "doc_id", "text", keep=("domain", "lang", "source"))
+    targets = table(spark, d, "mix_targets")
+    return mix.mix(sizes, targets), sizes, targets
+
+
+@R.query("p7_mix")
+def p7_mix(spark, d):
+    return _mixed(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+@R.query("p7_report")
+def p7_report(spark, d):
+    return mix.mix_report(*_mixed(spark, d))
+
+
 def queries():
     return R.queries
 
