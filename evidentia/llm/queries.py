@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from evidentia.llm import mix, near_duplicates, overlaps, pack, split, tokens, top_n
+from evidentia.llm import mix, near_duplicates, overlaps, pack, similar, split, tokens, top_n
 from evidentia.plans.registry import Registry
 from evidentia.sources.tables import table
 
@@ -34,6 +34,31 @@ def p1_pieces(spark, d):
     return pieces.select("doc_id", F.col("id").alias("chunk_id"), "piece_no", "cut", "text", place.alias("metadata"))
 
 
+# Problem 2: the ten most similar vectors.
+_P2_FOUND = """
+with u as (select vec_id, cast(embedding as double[]) as e from chunk_vectors
+           where vec_id is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+             and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+c as (select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 6) as c from u a join u b on a.vec_id <> b.vec_id),
+t as (select a, b, c, row_number() over (partition by a order by c desc, b) as n from c)
+select distinct least(a, b) as vec_lo, greatest(a, b) as vec_hi from t where n <= 10 and c >= 0.95
+"""
+
+
+@R.query("p2_found", _P2_FOUND)
+def p2_found(spark, d):
+    return similar.similar_pairs(table(spark, d, "chunk_vectors"), "vec_id", "embedding", dim=64, least=0.95).toDF("vec_lo", "vec_hi")
+
+
+@R.query("p2_neighbours", _P2_FOUND.split("select distinct")[0] + "select a as vec_id, b as other_id, c as cosine, cast(n as integer) as pos from t where n <= 10 and a % 50 = 0")
+def p2_neighbours(spark, d):
+    """The stated queries are the ids divisible by 50; all lists are scanned for them, in blocks."""
+    vectors = table(spark, d, "chunk_vectors")
+    index = similar.Index(vectors, "vec_id", "embedding", dim=64, n_lists=16)
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"))
+    return index.neighbours(asked, all_lists=True).toDF("vec_id", "other_id", "cosine", "pos")
+
+
 # Problem 3: top N of every group.
 _P3_FOUND = """
 select query_id, chunk_id, pos from (
