@@ -58,24 +58,29 @@ def slices(texts: list[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[i
         yield start, len(texts)
 
 
+class Words:
+    """The words of several texts: row, hash, and where each stands in the code points of all of them."""
+
+    def __init__(self, texts: list[str | None]):
+        lowered = [t.lower() if t else "" for t in texts]
+        self.codes = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = alnum_table()[self.codes]
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+        self.starts, self.ends = edges[0::2], edges[1::2]
+        up, down = _power_tables(len(self.codes) + 1)
+        sums = np.empty(len(self.codes) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum((self.codes.astype(np.uint64) + np.uint64(1)) * up[: len(self.codes)], out=sums[1:])
+        self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        # Where each row ends, counting the line breaks between rows.
+        self.bounds = np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1) - 1
+        self.rows = np.searchsorted(self.bounds, self.starts, side="right")
+
+
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(row of each word, 64-bit hash of each word) in reading order; null counts as empty."""
-    joined = "\n".join(t.lower() if t else "" for t in texts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if not len(codes):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    inside = alnum_table()[codes]
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
-    starts, ends = edges[0::2], edges[1::2]
-    up, down = _power_tables(len(codes) + 1)
-    sums = np.empty(len(codes) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    # Rows end where lower-cased texts do; the lengths are those after lower-casing.
-    sizes = np.fromiter((len(t.lower()) if t else 0 for t in texts), np.int64, len(texts))
-    bounds = np.cumsum(sizes + 1) - 1
-    return np.searchsorted(bounds, starts, side="right"), hashes
+    found = Words(texts)
+    return found.rows, found.hashes
 
 
 def shingles(rows: np.ndarray, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from evidentia.llm import mix, near_duplicates, overlaps, pack, similar, split, tokens, top_n
+from evidentia.llm import mix, near_duplicates, overlaps, pack, reading, similar, split, tokens, top_n
 from evidentia.plans.registry import Registry
 from evidentia.sources.tables import table
 
@@ -171,6 +172,36 @@ def p7_report(spark, d):
     return mix.mix_report(*_mixed(spark, d))
 
 
+# Problem 8: reading levels of English documents.
+def _model(spark, d):
+    return reading.ReadingModel(table(spark, d, "documents"), table(spark, d, "reading_labels"), "doc_id", "text", "source", "reading_level")
+
+
+@R.query("p8_found")
+def p8_found(spark, d):
+    graded = _model(spark, d).grade(table(spark, d, "documents").where("lang = 'en'"), "doc_id", "text")
+    return graded.where("n_words >= 80").select(F.col("id").alias("doc_id"), "reading_level")
+
+
+@R.query("p8_profile")
+def p8_profile(spark, d):
+    """All English texts, however their language is spelled, profiled by source and level."""
+    english = table(spark, d, "documents").where("lower(trim(lang)) = 'en'")
+    graded = _model(spark, d).grade(english, "doc_id", "text")
+    sources = english.select(F.col("doc_id").alias("id"), F.coalesce(mix.canonical(F.col("source")), F.lit("none")).alias("source"))
+    by_level = graded.join(sources, "id").groupBy("source", "reading_level").agg(F.count("*").alias("n_documents"), F.sum("n_words").alias("n_words"), F.avg("grade").alias("mean_grade"))
+    whole = Window.partitionBy("source")
+    return by_level.withColumn("share", F.col("n_documents") / F.sum("n_documents").over(whole))
+
+
+@R.query("p8_validation")
+def p8_validation(spark, d):
+    """Calibrated held-out predictions against the labels, by source."""
+    held = _model(spark, d).held_out
+    hit = (F.round("level") == F.col("reading_level")).cast("int")
+    return held.groupBy("source").agg(F.count("*").alias("n_labelled"), F.avg(hit).alias("accuracy"), F.avg(F.abs(F.col("calibrated") - F.col("level"))).alias("mean_error"))
+
+
 def queries():
     return R.queries
 
