@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("corpus", "search")
+MODULES: tuple[str, ...] = ("corpus", "search", "learning", "logs", "streams")
 
 
 class Registry:
