@@ -64,7 +64,7 @@ def _packed_by(block: np.ndarray, rows: np.ndarray) -> list[pa.Array]:
     """Rows of each block as one payload; rows must be in the order wanted within a block."""
     order = np.argsort(block, kind="stable")
     block, rows = block[order], rows[order]
-    edges = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+    edges = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(block) else np.zeros(1, np.int64)
     return [pa.array(block[edges[:-1]], pa.int32()), pa.array([_pack(rows[a:b]) for a, b in zip(edges[:-1], edges[1:])], pa.binary())]
 
 

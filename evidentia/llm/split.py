@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_BLANK = re.compile(r"\s+")
 _SPACE = re.compile(r"\s+|[。！？]")
 _BREAK = re.compile(r"\r\n|[\n\r\v\f\x1c-\x1e\x85  ]")
 #: Kinds of cut by strength.
@@ -77,7 +78,7 @@ def cuts(text: str, most: int) -> list[tuple[int, int]]:
             k = max(range(lo, hi), key=lambda i: (strengths[i], -abs(places[i] - middle)))
             place, strength = places[k], strengths[k]
         else:
-            left = max((m.end() for m in re.compile(r"\s+").finditer(text, max(a, middle - quarter), middle)), default=0)
+            left = max((m.end() for m in _BLANK.finditer(text, max(a, middle - quarter), middle)), default=0)
             place, strength = (left, 2) if a < left < b else (middle, 1)
         found.append((place, strength))
         todo += [(a, place), (place, b)]
@@ -108,7 +109,7 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, *, limit: int, overla
     """One row per piece: (id, piece_no from 0, char_start, char_end, cut, stretch_start, stretch_chars, text), then the columns `keep`.
 
     `only_long` leaves out texts that need no cut. Columns of `keep` come from
-    the row whose text is cut; each is a Column name of df.
+    the row whose text is cut; one named like a column of the pieces gets `_kept` added.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be less than the limit")
@@ -140,7 +141,9 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, *, limit: int, overla
         return pa.RecordBatch.from_arrays(columns, [*[c.split()[0] for c in _PIECES.split(", ")], *[f"kept_{k}" for k in range(len(keep))]])
 
     extra = "".join(f", kept_{k} {source.schema[f'kept_{k}'].dataType.simpleString()}" for k in range(len(keep)))
-    return source.mapInArrow(run, _PIECES + extra).withColumnsRenamed({f"kept_{k}": c for k, c in enumerate(keep)})
+    taken = {f.split()[0] for f in _PIECES.split(", ")}
+    names = {f"kept_{k}": c.split(".")[-1] for k, c in enumerate(keep)}
+    return source.mapInArrow(run, _PIECES + extra).withColumnsRenamed({k: f"{c}_kept" if c in taken else c for k, c in names.items()})
 
 
 def forced_stretches(split: DataFrame, limit: int) -> DataFrame:

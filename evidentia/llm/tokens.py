@@ -30,7 +30,8 @@ def token_sizes(df: DataFrame, id_col: str, text_col: str, *, keep: tuple[str, .
     """(id, tokens, and the columns `keep`), written once: a row per usable id.
 
     Null ids and texts, and texts without tokens, give no row. A repeated id
-    counts once, with its row of most tokens.
+    counts once, with its row of most tokens. A column of `keep` named id or
+    tokens gets `_kept` added.
     """
 
     def run(batches):
@@ -44,4 +45,4 @@ def token_sizes(df: DataFrame, id_col: str, text_col: str, *, keep: tuple[str, .
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
     sized = source.mapInArrow(run, ", ".join([*fields, "tokens long"]))
     once = sized.groupBy("id").agg(F.max(F.struct("tokens", *[f"kept_{k}" for k in range(len(keep))])).alias("row")).select("id", "row.*")
-    return cut(once.withColumnsRenamed({f"kept_{k}": c for k, c in enumerate(keep)}), "tokens")
+    return cut(once.withColumnsRenamed({f"kept_{k}": f"{c}_kept" if c in ("id", "tokens") else c for k, c in enumerate(keep)}), "tokens")
