@@ -8,13 +8,14 @@ and word lengths, of marks (syntax), of its vocabulary, and of the words that
 neighbouring sentences share (cohesion). Boosted trees are trained on these.
 
 Cross-validation is by source: the word levels and the trees that grade a
-labelled document come from documents of other groups of sources. Isotonic
-regression on those held-out predictions calibrates the grades, which are then
-rounded to levels. Training takes at most `MOST_LABELS` labelled documents
+labelled document come from documents of other groups of sources. Those
+held-out predictions calibrate the grades: between two levels lies the cut that
+parts the labels with the fewest errors, which a few wrong labels hardly move,
+and grades are stretched so that the cuts are at 1.5, 2.5 and 3.5. Training takes at most `MOST_LABELS` labelled documents
 (chosen by a hash of the id); word counts, features and predictions cover every
 document, in full.
 
-Prose is what is left without headings, list items, tables, code, addresses and
+Prose is what is left without tags, headings, list items, tables, code, addresses and
 lines without letters. A hyphen at a line's end is taken back. A sentence ends
 at `.`, `!`, `?` or `;` before white space. In a text with hardly a mark,
 sentences end at line breaks instead, and as lines may break them, each counts
@@ -34,7 +35,7 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,12 +47,15 @@ MOST_LABELS, FOLDS, LEAST_DOCUMENTS = 20_000, 3, 3
 GRADES = np.arange(1.25, 4.0, 0.25)
 BINS = len(GRADES) + 1
 _HYPHEN = re.compile(r"(?<=[A-Za-z])-[ \t]*\n[ \t]*(?=[a-z])")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|&nbsp;")
 _OTHER = re.compile(r"^(?:[ \t]*(?:[-*+•◦▪#|>~`<]|\d+[.)][ \t]|https?:).*|.*[\t|{}=<>].*|[^A-Za-z\n]*)$", re.M)
 _OTHER_FEATURES = ("words", "letters_a_word", "long_words", "words_a_sentence", "words_90th", "commas_a_sentence", "distinct_share", "shared_next", "mean_grade", "known_share", "marked")
 
 
 def prose(text: str) -> str:
     text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "<" in text:
+        text = _TAG.sub(" ", text)
     return _OTHER.sub("", _HYPHEN.sub("", text))
 
 
@@ -157,13 +161,15 @@ def _described(df: DataFrame, lexicons) -> DataFrame:
 
 
 def _features(usual: list[float]) -> Column:
-    """The cumulative shares of sentences by grade, then the other features, as one vector."""
+    """The cumulative shares of sentences by grade, their median, then the other features, as one vector."""
     marked = F.element_at("other", -1) > 0
     typical = F.array(*[F.lit(x) for x in usual])
     amount = F.when(marked, F.col("counts")).otherwise(F.zip_with("sizes", typical, lambda x, y: x / y))
     total = F.aggregate(amount, F.lit(0.0), lambda s, x: s + x)
     upto = [F.aggregate(F.slice(amount, 1, k + 1), F.lit(0.0), lambda s, x: s + x) / F.greatest(total, F.lit(1e-9)) for k in range(BINS - 1)]
-    return array_to_vector(F.concat(F.array(*upto), F.col("other")))
+    # The bin of the median sentence: where more than half are of one level, it is of that level.
+    median = F.aggregate(F.array(*upto), F.lit(0.0), lambda s, x: s + F.when(x < 0.5, 1.0).otherwise(0.0))
+    return array_to_vector(F.concat(F.array(*upto), F.array(median), F.col("other")))
 
 
 def _lexicons(labelled: DataFrame) -> dict[int, Lexicon]:
@@ -207,6 +213,21 @@ def _folds(labelled: DataFrame) -> DataFrame:
     return labelled.join(F.broadcast(plan), "source")
 
 
+def _cuts(held) -> list[float]:
+    """Between each two levels the cut with the fewest held-out errors, the one nearest the middle if several."""
+    level, grade = np.round(held.column("level").to_numpy()), held.column("grade").to_numpy()
+    options = np.unique(np.round(np.concatenate((grade, np.arange(1.5, 4))), 3))
+    cuts = []
+    for k in (1, 2, 3):
+        below, above = np.sort(grade[level <= k]), np.sort(grade[level > k])
+        errors = len(below) - np.searchsorted(below, options, "right") + np.searchsorted(above, options, "right")
+        best = options[(errors == errors.min()) & (options > (cuts[-1] + 0.05 if cuts else -np.inf))]
+        if not len(best):
+            best = np.array([cuts[-1] + 1.0])
+        cuts.append(float(best[np.argmin(np.abs(best - (k + 0.5)))]))
+    return cuts
+
+
 class ReadingModel:
     """Word levels, trees and calibration fitted on labelled documents; `held_out` has (id, source, level, grade)."""
 
@@ -241,13 +262,15 @@ class ReadingModel:
             held = part if held is None else held.unionAll(part)
         held = cut(held, "held-out")
         rows.unpersist()
-        self.calibration = IsotonicRegression(labelCol="level", featuresCol="grade", predictionCol="calibrated").fit(held)
+        self.cuts = _cuts(held.select("level", "grade").toArrow())  # at most MOST_LABELS rows
         self.held_out = self._calibrated(held)
 
     def _calibrated(self, df: DataFrame) -> DataFrame:
-        """Isotonic steps between whose ends grades are interpolated; few, as the sample is bounded."""
-        rounded = self.calibration.transform(df)
-        return rounded.withColumn("reading_level", F.greatest(F.lit(1), F.least(F.lit(4), F.floor(F.col("calibrated") + 0.5))).cast("int"))
+        a, b, c = self.cuts
+        grade = F.col("grade")
+        stretched = F.when(grade < b, 1.5 + (grade - a) / (b - a)).otherwise(2.5 + (grade - b) / (c - b))
+        level = F.lit(1) + (grade > a).cast("int") + (grade > b).cast("int") + (grade > c).cast("int")
+        return df.withColumns({"calibrated": F.greatest(F.lit(1.0), F.least(F.lit(4.0), stretched)), "reading_level": level})
 
     def grade(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, n_words, grade, reading_level), a row per id."""
