@@ -53,7 +53,7 @@ def knn(items: DataFrame, queries: DataFrame, k: int, *, dim: int, metric: str =
                     score = (q @ x.T) / q_size[:, None] / np.linalg.norm(x, axis=1)
                 else:
                     score = ((q[:, None, :] - x[None, :, :]) ** 2).sum(2) if len(q) * len(x) < 200_000 else q_size[:, None] ** 2 - 2 * (q @ x.T) + (x * x).sum(1)
-                score = np.round(score, 6) * sign
+                score = (np.round(score, 6) + 0.0) * sign
                 found = []
                 for i in range(len(q)):
                     order = np.lexsort((ids, score[i]))
@@ -61,7 +61,7 @@ def knn(items: DataFrame, queries: DataFrame, k: int, *, dim: int, metric: str =
                         order = order[ids[order] != same[i]]
                     found.append((np.full(min(k, len(order)), i), order[:k]))
                 at, to = (np.concatenate(c) for c in zip(*found))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array(ids[to]), pa.array(score[at, to] * sign)], ["query", "item", "score"])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array(ids[to]), pa.array(score[at, to] * sign + 0.0)], ["query", "item", "score"])
 
         passes.append(items.mapInArrow(run, f"query {kind}, item long, score double"))
     near = passes[0]

@@ -83,7 +83,7 @@ def feature_standardize(spark, d):
     return stats.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-_SCALED = ", ".join(f"round(avg({c}), 4) as mean_{c}, round(stddev_pop({c}), 4) as std_{c}" for c in ("bm25_score", "semantic_rank"))
+_SCALED = ", ".join(f"round(avg({c}), 4) + 0.0 as mean_{c}, round(stddev_pop({c}), 4) as std_{c}" for c in ("bm25_score", "semantic_rank"))
 _TRAIN = f"st as (select avg(bm25_score) as m1, stddev_pop(bm25_score) as s1, avg(semantic_rank) as m2, stddev_pop(semantic_rank) as s2 from xf where split = 'train'), z as (select split, (bm25_score - m1) / s1 as bm25_score, (semantic_rank - m2) / s2 as semantic_rank from xf, st)"
 
 
@@ -92,7 +92,7 @@ def standardized_by_split(spark, d):
     """Every split scaled by the statistics of train: how far its features are from train's."""
     rows = examples(spark, d)
     z = learning.standardized(rows, learning.feature_stats(rows.where("split = 'train'")))
-    of = [f(c) for c in ("bm25_score", "semantic_rank") for f in (lambda c: F.round(F.avg(c), 4).alias(f"mean_{c}"), lambda c: F.round(F.stddev_pop(c), 4).alias(f"std_{c}"))]
+    of = [f(c) for c in ("bm25_score", "semantic_rank") for f in (lambda c: (F.round(F.avg(c), 4) + 0.0).alias(f"mean_{c}"), lambda c: F.round(F.stddev_pop(c), 4).alias(f"std_{c}"))]
     return z.groupBy("split").agg(*of)
 
 

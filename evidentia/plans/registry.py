@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evidentia.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES: tuple[str, ...] = ("corpus", "search", "learning", "logs", "streams")
@@ -23,10 +26,16 @@ class Registry:
         def add(f: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} is registered twice")
-            self.queries[name] = f
+
+            @wraps(f)
+            def run(spark: SparkSession, folder: str) -> DataFrame:
+                ship(spark)
+                return f(spark, folder)
+
+            self.queries[name] = run
             if sql is not None:
                 self.sql[name] = sql
-            return f
+            return run
 
         return add
 

@@ -70,10 +70,10 @@ def usable_vectors(spark, d):
     return rows.select("vec_id", "chunk_id", "doc_id", F.col("embedding").alias("v"))
 
 
-@R.query("l2_normalize", f"with {_USABLE}, n as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from us) select vec_id, round(n, 6) as norm, round(v[1] / (n + 1e-12), 6) as first, round(list_sum(list_transform(v, lambda x: (x / (n + 1e-12)) * (x / (n + 1e-12)))), 6) as square from n")
+@R.query("l2_normalize", f"with {_USABLE}, n as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from us) select vec_id, round(n, 6) as norm, round(v[1] / (n + 1e-12), 6) + 0.0 as first, round(list_sum(list_transform(v, lambda x: (x / (n + 1e-12)) * (x / (n + 1e-12)))), 6) as square from n")
 def l2_normalize(spark, d):
     unit = usable_vectors(spark, d).select("vec_id", V.norm(F.col("v")).alias("n"), V.l2_normalize(F.col("v")).alias("u"))
-    return unit.select("vec_id", F.round("n", 6).alias("norm"), F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(V.dot(F.col("u"), F.col("u")), 6).alias("square"))
+    return unit.select("vec_id", F.round("n", 6).alias("norm"), (F.round(F.get("u", F.lit(0)), 6) + 0.0).alias("first"), F.round(V.dot(F.col("u"), F.col("u")), 6).alias("square"))
 
 
 @R.query("vector_quality", """select case when embedding is null then 'missing' when len(embedding) <> 64 then 'wrong length' when len(list_filter(embedding, lambda x: x is not null and isfinite(x))) < 64 then 'not finite'

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +44,17 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors' Python, unless its folder is on PYTHONPATH, which they inherit."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if context.applicationId in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='evidentia-')}/evidentia", "zip", root, Path(__file__).resolve().parent.name)
+    context.addPyFile(made)
+    _shipped.add(context.applicationId)

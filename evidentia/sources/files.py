@@ -23,7 +23,7 @@ LOG_SCHEMA = "ts string, run_id string, event string, stage string, attrs string
 
 def read_markdown(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """(source_path, title, text) of all files below a folder; line breaks are unified."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(folder)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
     named = files.select(F.col("_metadata.file_path").alias("source_path"), X.unify_breaks(F.col("value")).alias("text"))
     return named.select("source_path", X.basename(F.col("source_path")).alias("title"), "text")
 
