@@ -202,7 +202,7 @@ def _lexicons(labelled: DataFrame) -> dict[int, Lexicon]:
 
 def _folds(labelled: DataFrame) -> DataFrame:
     """Labelled documents with a fold each: whole sources, the largest first, to the emptiest fold."""
-    sizes = labelled.groupBy("source").count().orderBy(F.desc("count"), "source").limit(10_000).collect()
+    sizes = labelled.groupBy("source").count().orderBy(F.desc("count"), "source").collect()  # no more than labelled documents
     filled, fold_of = [0] * FOLDS, {}
     for row in sizes:
         k = min(range(FOLDS), key=lambda i: filled[i])

@@ -108,8 +108,8 @@ _PIECES = "id string, piece_no int, char_start int, char_end int, cut string, st
 def split_texts(df: DataFrame, id_col: str, text_col: str, *, limit: int, overlap: int, only_long: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per piece: (id, piece_no from 0, char_start, char_end, cut, stretch_start, stretch_chars, text), then the columns `keep`.
 
-    `only_long` leaves out texts that need no cut. Columns of `keep` come from
-    the row whose text is cut; one named like a column of the pieces gets `_kept` added.
+    `only_long` leaves out texts that need no cut. Columns of `keep` (of kinds
+    with an order) are the greatest of an id's rows, so nulls give way; one named like a column of the pieces gets `_kept` added.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be less than the limit")
@@ -117,8 +117,7 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, *, limit: int, overla
     source = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), *kept).where("id is not null and text is not null")
     if only_long:
         source = source.where(F.length("text") > limit)
-    # The greatest struct after the smallest text would need a second pass; min over a struct keeps text and columns of one row.
-    source = source.groupBy("id").agg(F.min(F.struct("text", *[f"kept_{k}" for k in range(len(keep))])).alias("row")).select("id", "row.*")
+    source = source.groupBy("id").agg(F.min("text").alias("text"), *[F.max(f"kept_{k}").alias(f"kept_{k}") for k in range(len(keep))])
 
     def run(batches):
         for batch in batches:
