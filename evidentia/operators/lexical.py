@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidentia.functions import text as X
+from evidentia.session import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def tokenized(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, tokens) of chunks with a text."""
+    """(chunk_id, tokens) of chunks with a text; tokens that are there already are taken."""
+    if "tokens" in chunks.columns:
+        return chunks.select("chunk_id", "tokens")
     return chunks.where("text is not null").select("chunk_id", X.tokenize(F.col("text")).alias("tokens"))
 
 
@@ -53,6 +56,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     queries leave the exploded corpus: they are joined before anything is
     grouped. `queries` must be a bounded list, as its words are broadcast.
     """
+    # Words, lengths and statistics all read the tokens: they are made and written once.
+    chunks = cut(tokenized(chunks), "tokens")
     asked = queries.select("query_id", F.explode(X.tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
     terms = idf(chunks).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
     words = tokenized(chunks).select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
