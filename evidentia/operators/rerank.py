@@ -22,15 +22,17 @@ def token_vector(token: Column) -> Column:
 def maxsim(hits: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
     """hits (query_id, chunk_id, ...) with colbert_score: the sum over query tokens of the best inner product with a token of the text.
 
-    Only distinct tokens of the hits are made into vectors: pairs of a query's
-    and a text's token are scored once, then the best and the sum are taken.
+    Each distinct token of the hits is made into a vector once, each pair of a
+    query's and a text's token is scored once; then the best and the sum are taken.
     Without tokens on a side the score is minus infinity.
     """
     q = queries.select("query_id", F.posexplode(F.slice(X.tokenize(F.col("query")), 1, QUERY_TOKENS)).alias("at", "qt"))
     wanted = texts.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
     t = wanted.select("chunk_id", F.explode(F.array_distinct(F.slice(X.tokenize(F.col("text")), 1, TEXT_TOKENS))).alias("tt"))
     met = hits.select("query_id", "chunk_id").join(q, "query_id").join(t, "chunk_id")
-    pairs = met.select("qt", "tt").distinct().withColumn("sim", V.dot(token_vector(F.col("qt")), token_vector(F.col("tt"))))
+    vectors = lambda df, c: df.select(c).distinct().withColumn(f"{c}_v", token_vector(F.col(c)))
+    pairs = met.select("qt", "tt").distinct().join(vectors(q, "qt"), "qt").join(vectors(t, "tt"), "tt")
+    pairs = pairs.select("qt", "tt", V.dot(F.col("qt_v"), F.col("tt_v")).alias("sim"))
     best = met.join(pairs, ["qt", "tt"]).groupBy("query_id", "chunk_id", "at").agg(F.max("sim").alias("best"))
     score = best.groupBy("query_id", "chunk_id").agg(F.round(F.sum("best"), 6).alias("colbert_score"))
     return hits.join(score, ["query_id", "chunk_id"], "left").withColumn("colbert_score", F.coalesce("colbert_score", F.lit(float("-inf"))))

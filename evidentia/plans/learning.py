@@ -9,6 +9,7 @@ from evidentia.operators.fusion import FEATURES
 from evidentia.plans import search
 from evidentia.plans.base import chunks, query_list
 from evidentia.plans.registry import Registry
+from evidentia.session import cut
 from evidentia.sources.tables import table
 
 R = Registry()
@@ -139,9 +140,9 @@ def log_loss(spark, d):
 @R.query("lf_metrics")
 def lf_metrics(spark, d):
     """A logistic model trained on train's standardised features, evaluated on each split."""
-    rows = examples(spark, d).cache()
+    rows = cut(examples(spark, d), "examples")
     z = learning.standardized(rows, learning.feature_stats(rows.where("split = 'train'")))
-    p = learning.predicted(learning.train_logistic(z.where("split = 'train'")), z)
+    p = cut(learning.predicted(learning.train_logistic(z.where("split = 'train'")), z).select("split", "label", "p"), "predicted")
     out = learning.roc_auc(p, ["split"])
     for more in (learning.average_precision(p, ["split"]), learning.log_loss(p, ["split"]), learning.confusion(p, ["split"])):
         out = out.join(more, "split")

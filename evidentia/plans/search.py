@@ -10,6 +10,7 @@ from evidentia.functions import vectors as V
 from evidentia.operators import context, dense, fusion, lexical, rerank
 from evidentia.plans.base import CHUNKS, chunks, query_list, sql_strip, sql_tokens
 from evidentia.plans.registry import Registry
+from evidentia.session import cut
 from evidentia.sources.tables import table
 
 R = Registry()
@@ -257,7 +258,7 @@ rr as (select query_id, chunk_id, fused_score, pos, coalesce(colbert_score, cast
 
 
 def _reranked(spark, d):
-    hits = rrf_fusion(spark, d).where("pos <= 30").select("query_id", "chunk_id", "fused_score", "pos")
+    hits = cut(rrf_fusion(spark, d).where("pos <= 30").select("query_id", "chunk_id", "fused_score", "pos"), "hits")
     return rerank.maxsim(hits, query_list(spark, d), chunks(spark, d).select("chunk_id", "text"))
 
 
@@ -321,7 +322,8 @@ ex as (select kp.query_id, doc_id, chunk_id, chunk_idx, coalesce(hh.score, 0.0)
 
 
 def _hits(spark, d):
-    return retrieve_rrf(spark, d).withColumnRenamed("fused_score", "score")
+    """A few hits for each standing query; written, as several steps that follow read them."""
+    return cut(retrieve_rrf(spark, d).withColumnRenamed("fused_score", "score"), "hits")
 
 
 def _seeds(spark, d):
