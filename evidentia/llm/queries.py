@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evidentia.functions.text import SPACE
 from evidentia.llm import mix, near_duplicates, overlaps, pack, reading, similar, split, tokens, top_n
 from evidentia.plans.registry import Registry
 from evidentia.sources.tables import table
@@ -19,7 +20,14 @@ def _limit(spark, d, purpose):
     return {"limit": int(row.capacity), "overlap": int(row.overlap)}
 
 
-@R.query("p1_found")
+_P1_FOUND = rf"""
+with t as (select chunk_id, min(text) as text from corpus_chunks where chunk_id is not null and length(text) > 1200 group by 1),
+b as (select chunk_id, regexp_replace(regexp_replace(regexp_replace(text, '{SPACE}*[\n\r]{SPACE}*', chr(1), 'g'), '([.!?]){SPACE}+', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g') as marked from t)
+select chunk_id, cast(len(list_filter(string_split(marked, chr(1)), lambda s: length(s) > 1200)) as integer) as n_forced from b
+"""
+
+
+@R.query("p1_found", _P1_FOUND)
 def p1_found(spark, d):
     limit = _limit(spark, d, "chunk")
     pieces = split.split_texts(table(spark, d, "corpus_chunks"), "chunk_id", "text", only_long=True, **limit)
