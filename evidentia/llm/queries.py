@@ -65,7 +65,7 @@ def p2_neighbours(spark, d):
     vectors = table(spark, d, "chunk_vectors")
     index = similar.Index(vectors, "vec_id", "embedding", dim=64, n_lists=16)
     asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"))
-    return index.neighbours(asked, all_lists=True).toDF("vec_id", "other_id", "cosine", "pos")
+    return index.neighbours(asked, depth=512, all_lists=True).toDF("vec_id", "other_id", "cosine", "pos")
 
 
 # Problem 3: top N of every group.
