@@ -35,6 +35,8 @@ from pyspark.sql.window import Window
 from evidentia.session import cut
 
 BUCKETS = 4096
+#: A total of as many tokens as the sources with a target hold.
+HELD = "held"
 
 
 def canonical(name: Column) -> Column:
@@ -93,11 +95,12 @@ def _rounded(given: dict, room: dict) -> dict:
     return out
 
 
-def mix(sizes: DataFrame, targets: DataFrame, *, levels: tuple[str, ...] = ("domain", "lang", "source"), total: int | None = None, seed: int = 0) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, *, levels: tuple[str, ...] = ("domain", "lang", "source"), total: int | str | None = None, seed: int = 0) -> DataFrame:
     """(id, the levels, epoch from 0, tokens, taken): what the mix takes of each record in each epoch.
 
     `sizes` has id, tokens and the levels, the last being the source; `targets`
-    has source, target_share and max_repeats.
+    has source, target_share and max_repeats. A `total` of HELD is the tokens
+    that the sources with a target hold.
     """
     spark = sizes.sparkSession
     names = [F.coalesce(F.trim(F.col(c).cast("string")), F.lit("none")).alias(c) for c in levels[:-1]]
@@ -109,7 +112,7 @@ def mix(sizes: DataFrame, targets: DataFrame, *, levels: tuple[str, ...] = ("dom
     usable = usable.where(F.col(levels[-1]).isin(list(wanted)))
     sums = usable.groupBy(*levels).agg(F.sum("tokens").alias("n")).collect()
     held = {tuple(r[c] for c in levels): int(r.n) for r in sums}
-    budget = budgets(held, wanted, total) if held else {}
+    budget = budgets(held, wanted, sum(held.values()) if total == HELD else total) if held else {}
     plan = [(*p, b // held[p], b % held[p]) for p, b in budget.items() if b > 0]
     fields = ", ".join([*(f"{c} string" for c in levels), "whole long", "rest long"])
     placed = usable.join(F.broadcast(spark.createDataFrame(plan, fields)), list(levels))
@@ -129,15 +132,28 @@ def mix(sizes: DataFrame, targets: DataFrame, *, levels: tuple[str, ...] = ("dom
     return whole.unionByName(inner).unionByName(edge)
 
 
-def mix_report(mixed: DataFrame, sizes: DataFrame, targets: DataFrame, source: str = "source") -> DataFrame:
-    """(source, target_share, max_repeats, held, taken, actual_share, repeats) of every target, absent ones too."""
-    held = sizes.groupBy(canonical(F.col(source)).alias("source")).agg(F.sum("tokens").alias("held"))
-    taken = mixed.groupBy(F.col(source).alias("source")).agg(F.sum("taken").alias("taken"), (F.max("epoch") + 1).alias("repeats"))
-    total = mixed.agg(F.sum("taken").alias("total"))
-    wanted = targets.groupBy(canonical(F.col("source")).alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+def mix_report(mixed: DataFrame, sizes: DataFrame, targets: DataFrame, source: str = "source", total: int | str | None = None) -> DataFrame:
+    """(source, target_share, max_repeats, held, wanted, taken, unused, wanted_share, actual_share, repeats) of every target, absent ones too.
+
+    `wanted` is what the source's share of the total comes to, among the sources
+    that can give anything; without a `total`, of what was taken. `unused` are
+    the tokens held that no epoch takes.
+    """
+    held = sizes.where("id is not null and tokens >= 1").groupBy(canonical(F.col(source)).alias("source")).agg(F.sum("tokens").alias("held"))
+    first = F.sum(F.when(F.col("epoch") == 0, F.col("taken")))
+    taken = mixed.groupBy(F.col(source).alias("source")).agg(F.sum("taken").alias("taken"), first.alias("first"), (F.max("epoch") + 1).alias("repeats"))
+    shares = targets.groupBy(canonical(F.col("source")).alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     none = F.lit(0).cast("long")
+    rows = shares.join(held, "source", "left").join(taken, "source", "left")
+    # A row for each target, few whatever the number of records.
+    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("held", "taken", "first", "repeats")})
+    targeted = F.col("source").isNotNull() & (F.col("target_share") > 0) & ~F.isnan("target_share")
+    rows = rows.withColumn("part", F.when(targeted & (F.col("held") > 0) & (F.col("max_repeats") > 0), F.col("target_share")).otherwise(0.0))
+    whole = F.sum("taken") if total is None else F.sum(F.when(targeted, F.col("held"))) if total == HELD else F.lit(total)
+    sums = rows.agg(whole.alias("total"), F.sum("part").alias("parts"), F.sum("taken").alias("mixed"))
+    wanted_share = F.col("part") / F.nullif("parts", F.lit(0.0))
     return (
-        wanted.join(held, "source", "left").join(taken, "source", "left").crossJoin(F.broadcast(total))
-        .select("source", "target_share", "max_repeats", F.coalesce("held", none).alias("held"), F.coalesce("taken", none).alias("taken"),
-                (F.coalesce("taken", none) / F.col("total")).alias("actual_share"), F.coalesce("repeats", none).alias("repeats"))
+        rows.crossJoin(F.broadcast(sums))
+        .select("source", "target_share", "max_repeats", "held", F.round(wanted_share * F.col("total")).cast("long").alias("wanted"), "taken", (F.col("held") - F.col("first")).alias("unused"),
+                wanted_share.alias("wanted_share"), (F.col("taken") / F.nullif("mixed", none)).alias("actual_share"), "repeats")
     )

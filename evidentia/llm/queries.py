@@ -167,7 +167,7 @@ def _mixed(spark, d):
     named = documents.select("doc_id", "text", "source", F.lower(F.trim("lang")).alias("lang"), F.nullif(F.regexp_extract("course_code", "^([A-Za-z]+)", 1), F.lit("")).alias("domain"))
     sizes = tokens.token_sizes(named, "doc_id", "text", keep=("domain", "lang", "source"))
     targets = table(spark, d, "mix_targets")
-    return mix.mix(sizes, targets), sizes, targets
+    return mix.mix(sizes, targets, total=mix.HELD), sizes, targets
 
 
 @R.query("p7_mix")
@@ -177,7 +177,7 @@ def p7_mix(spark, d):
 
 @R.query("p7_report")
 def p7_report(spark, d):
-    return mix.mix_report(*_mixed(spark, d))
+    return mix.mix_report(*_mixed(spark, d), total=mix.HELD)
 
 
 # Problem 8: reading levels of English documents.

@@ -83,3 +83,20 @@ def test_mix(spark):
 def test_mix_nothing(spark):
     sizes = spark.createDataFrame([], "id long, tokens long, domain string, lang string, source string")
     assert mix.mix(sizes, spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")).count() == 0
+
+
+def test_a_scarce_source_does_not_shrink_the_mix(spark):
+    rows = [(k, 10, "D", "en", "big" if k % 2 else "other") for k in range(200)] + [(900, 30, "D", "en", "tiny"), (901, 10, "D", "en", "unwanted")]
+    sizes = spark.createDataFrame(rows, "id long, tokens long, domain string, lang string, source string")
+    targets = spark.createDataFrame([("big", 0.25, 2), ("other", 0.25, 1), ("tiny", 0.5, 2), ("absent", 0.1, 1)], "source string, target_share double, max_repeats int")
+    report = {r.source: r for r in mix.mix_report(mix.mix(sizes, targets, total=mix.HELD), sizes, targets, total=mix.HELD).collect()}
+    got = {s: (r.held, r.wanted, r.taken, r.unused, r.repeats) for s, r in report.items()}
+    assert got == {"big": (1000, 508, 985, 15, 1), "other": (1000, 508, 985, 15, 1), "tiny": (30, 1015, 60, 0, 2), "absent": (0, 0, 0, 0, 0)}
+    assert report["tiny"].wanted_share == 0.5 and abs(report["tiny"].actual_share - 60 / 2030) < 1e-9
+
+
+def test_the_registered_mix_is_as_large_as_its_sources(spark, folder):
+    from evidentia.llm.queries import R
+
+    rows = R.queries["p7_report"](spark, folder).where("target_share > 0").collect()
+    assert sum(r.taken for r in rows) == sum(r.held for r in rows) > 0 and all(r.taken <= r.held * r.max_repeats for r in rows)
