@@ -10,7 +10,7 @@ from evidentia.functions import text as X
 from evidentia.functions import vectors as V
 from evidentia.functions.binding import bind
 
-DIM, QUERY_TOKENS, TEXT_TOKENS = 16, 64, 256
+DIM = 16
 
 
 def token_vector(token: Column) -> Column:
@@ -19,16 +19,18 @@ def token_vector(token: Column) -> Column:
     return bind(raw, lambda r: bind(V.norm(r), lambda n: F.transform(r, lambda x: x / n)))
 
 
-def maxsim(hits: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
+def maxsim(hits: DataFrame, queries: DataFrame, texts: DataFrame, *, query_tokens: int | None = None, text_tokens: int | None = None) -> DataFrame:
     """hits (query_id, chunk_id, ...) with colbert_score: the sum over query tokens of the best inner product with a token of the text.
 
     Each distinct token of the hits is made into a vector once, each pair of a
     query's and a text's token is scored once; then the best and the sum are taken.
-    Without tokens on a side the score is minus infinity.
+    Without tokens on a side the score is minus infinity. Queries and texts are
+    read whole unless a number of first tokens is given.
     """
-    q = queries.select("query_id", F.posexplode(F.slice(X.tokenize(F.col("query")), 1, QUERY_TOKENS)).alias("at", "qt"))
+    first = lambda tokens, most: tokens if most is None else F.slice(tokens, 1, most)
+    q = queries.select("query_id", F.posexplode(first(X.tokenize(F.col("query")), query_tokens)).alias("at", "qt"))
     wanted = texts.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    t = wanted.select("chunk_id", F.explode(F.array_distinct(F.slice(X.tokenize(F.col("text")), 1, TEXT_TOKENS))).alias("tt"))
+    t = wanted.select("chunk_id", F.explode(F.array_distinct(first(X.tokenize(F.col("text")), text_tokens))).alias("tt"))
     met = hits.select("query_id", "chunk_id").join(q, "query_id").join(t, "chunk_id")
     vectors = lambda df, c: df.select(c).distinct().withColumn(f"{c}_v", token_vector(F.col(c)))
     pairs = met.select("qt", "tt").distinct().join(vectors(q, "qt"), "qt").join(vectors(t, "tt"), "tt")

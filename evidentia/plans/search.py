@@ -257,22 +257,50 @@ mx as (select query_id, chunk_id, round(sum(best), 6) as colbert_score from (sel
 rr as (select query_id, chunk_id, fused_score, pos, coalesce(colbert_score, cast('-infinity' as double)) as colbert_score from hits left join mx using (query_id, chunk_id))"""
 
 
-def _reranked(spark, d):
+#: The lengths that the SQL compares; the queries *_whole have none.
+_LENGTHS = {"query_tokens": 64, "text_tokens": 256}
+
+
+def _sql_whole(sql: str) -> str:
+    for n in _LENGTHS.values():
+        sql = sql.replace(f"[:{n}]", "")
+    return sql
+
+
+def _reranked(spark, d, **lengths):
     hits = cut(rrf_fusion(spark, d).where("pos <= 30").select("query_id", "chunk_id", "fused_score", "pos"), "hits")
-    return rerank.maxsim(hits, query_list(spark, d), chunks(spark, d).select("chunk_id", "text"))
+    return rerank.maxsim(hits, query_list(spark, d), chunks(spark, d).select("chunk_id", "text"), **lengths)
+
+
+def _maxsim_rerank(spark, d, **lengths):
+    return rerank.rerank_head(_reranked(spark, d, **lengths), 30).select("query_id", "chunk_id", "colbert_score", F.col("new_pos").alias("pos"))
 
 
 @R.query("maxsim_rerank", f"with {_MAXSIM} select query_id, chunk_id, colbert_score, cast(row_number() over (partition by query_id order by colbert_score desc, fused_score desc, pos) as integer) as pos from rr")
 def maxsim_rerank(spark, d):
-    return rerank.rerank_head(_reranked(spark, d), 30).select("query_id", "chunk_id", "colbert_score", F.col("new_pos").alias("pos"))
+    return _maxsim_rerank(spark, d, **_LENGTHS)
+
+
+@R.query("maxsim_rerank_whole", _sql_whole(R.sql["maxsim_rerank"]))
+def maxsim_rerank_whole(spark, d):
+    return _maxsim_rerank(spark, d)
 
 
 _HEAD = "row_number() over (partition by query_id order by case when pos <= 10 then 0 else 1 end, case when pos <= 10 then colbert_score end desc nulls last, case when pos <= 10 then fused_score end desc nulls last, pos)"
 
 
+def _rerank_head_tail(spark, d, **lengths):
+    return rerank.rerank_head(_reranked(spark, d, **lengths), 10).select("query_id", "chunk_id", F.col("pos").alias("old_pos"), F.col("new_pos").alias("pos"))
+
+
 @R.query("rerank_head_tail", f"with {_MAXSIM} select query_id, chunk_id, pos as old_pos, cast({_HEAD} as integer) as pos from rr")
 def rerank_head_tail(spark, d):
-    return rerank.rerank_head(_reranked(spark, d), 10).select("query_id", "chunk_id", F.col("pos").alias("old_pos"), F.col("new_pos").alias("pos"))
+    return _rerank_head_tail(spark, d, **_LENGTHS)
+
+
+@R.query("rerank_head_tail_whole", _sql_whole(R.sql["rerank_head_tail"]))
+def rerank_head_tail_whole(spark, d):
+    return _rerank_head_tail(spark, d)
 
 
 _ABOUT = r"(regexp_matches(query, '(?i)\bcomp\s*\d{4}\b') or regexp_matches(query, '\b\d{4}\b') or regexp_matches(query, '(?i)\bcourse(s)?\b'))"
@@ -299,15 +327,24 @@ def retrieve_lr(spark, d):
     return _routed(spark, d, _lr(spark, d), "lf_score").select("query_id", "chunk_id", "lf_score", "pos")
 
 
-@R.query("retrieve_rerank", f"""with {_MAXSIM}, hd as (select query_id, chunk_id, case when pos <= 10 then colbert_score else fused_score end as score, cast({_HEAD} as integer) as new_pos from rr),
-    hp as (select query_id, chunk_id, score, new_pos as pos from hd) select query_id, chunk_id, score, pos from {_sql_routed('hp', 'score')}""")
-def retrieve_rerank(spark, d):
+def _retrieve_rerank(spark, d, **lengths):
     """Candidates, the first ten reranked, then the threshold on whichever score a hit has."""
-    head = rerank.rerank_head(_reranked(spark, d), 10)
+    head = rerank.rerank_head(_reranked(spark, d, **lengths), 10)
     picked = head.withColumn("colbert_score", F.when(F.col("pos") <= 10, F.col("colbert_score"))).withColumn("score", rerank.pick_score("colbert_score", "fused_score"))
     return _routed(spark, d, picked.select("query_id", "chunk_id", "score", F.col("new_pos").alias("pos")), "score").select("query_id", "chunk_id", "score", "pos")
 
 
+@R.query("retrieve_rerank", f"""with {_MAXSIM}, hd as (select query_id, chunk_id, case when pos <= 10 then colbert_score else fused_score end as score, cast({_HEAD} as integer) as new_pos from rr),
+    hp as (select query_id, chunk_id, score, new_pos as pos from hd) select query_id, chunk_id, score, pos from {_sql_routed('hp', 'score')}""")
+def retrieve_rerank(spark, d):
+    return _retrieve_rerank(spark, d, **_LENGTHS)
+
+
+@R.query("retrieve_rerank_whole", _sql_whole(R.sql["retrieve_rerank"]))
+def retrieve_rerank_whole(spark, d):
+    return _retrieve_rerank(spark, d)
+
+
 # ---------------------------------------------------------------- contexts
 
 _HITS = f"{_RUNS}, hh as (select query_id, chunk_id, fused_score as score, pos from {_sql_routed('rf', 'fused_score')}), sd as (select hh.*, doc_id, chunk_idx, section from hh join ch using (chunk_id))"

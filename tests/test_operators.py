@@ -160,6 +160,15 @@ def test_threshold(spark):
         assert kept(spark, scores, min_keep=3, max_keep=5) == want[:5]
 
 
+def test_maxsim_scores_long_texts_and_queries_whole(spark):
+    filler = " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300))
+    hits = spark.createDataFrame([("a", "long"), ("a", "short"), ("b", "short")], "query_id string, chunk_id string")
+    queries = spark.createDataFrame([("a", "zebra"), ("b", "zebra " * 70)], "query_id string, query string")
+    texts = spark.createDataFrame([("long", f"{filler} zebra"), ("short", "zebra")], "chunk_id string, text string")
+    scores = {(r.query_id, r.chunk_id): r.colbert_score for r in rerank.maxsim(hits, queries, texts).collect()}
+    assert scores == {("a", "long"): 1.0, ("a", "short"): 1.0, ("b", "short"): 70.0}
+
+
 def test_maxsim_and_head(spark):
     queries = spark.createDataFrame([("q", "alpha beta")], "query_id string, query string")
     texts = spark.createDataFrame([("a", "alpha"), ("b", "beta alpha x"), ("c", ""), ("d", "zeta")], "chunk_id string, text string")
