@@ -25,10 +25,9 @@ def stream_session_memory(spark, d):
     return rows.groupBy("run_id").agg(F.max_by(F.struct("n_events", "n_errors", "last_events"), "n_events").alias("m")).select("run_id", "m.*")
 
 
-@R.query("stream_event_windows")
+@R.query("stream_event_windows", "select date_trunc('hour', ts) as begins, event_type, count(*) as n, round(sum(value), 4) as value from events where ts is not null group by 1, 2")
 def stream_event_windows(spark, d):
-    """Append mode: windows that the watermark hasn't passed stay open and aren't emitted."""
-    return jobs.run_available(jobs.window_counts(spark, f"{d}/events.parquet"), "windows")
+    return jobs.window_counts(spark, f"{d}/events.parquet")
 
 
 _DISTINCT = """with o as (select distinct run_id, epoch_us(try_cast(ts as timestamptz)) as at_us, event, stage, attrs from log_events where run_id is not null and ts is not null)
@@ -38,5 +37,5 @@ select run_id, at_us, event, stage, case when json_valid(attrs) then try_cast(at
 
 @R.query("stream_distinct_events", _DISTINCT)
 def stream_distinct_events(spark, d):
-    rows = jobs.run_available(jobs.distinct_events(spark, f"{d}/log_events.parquet"), "distinct")
+    rows = jobs.distinct_events(spark, f"{d}/log_events.parquet")
     return rows.select("run_id", F.unix_micros("at").alias("at_us"), "event", "stage", "latency_ms")

@@ -7,7 +7,7 @@ in the checkpoint folder, and stops (`availableNow`) or goes on.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +36,18 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
 
 
+def run_partials(stream: DataFrame, label: str, partial: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `partial` makes of each batch of what is there, to be put together by the caller; a batch that is done again replaces its rows."""
+    spark = stream.sparkSession
+    at = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    schema = partial(stream).schema
+    spark.createDataFrame([], schema).write.parquet(f"{at}/out/none")  # for a table without files
+    write = lambda batch, k: partial(batch).write.mode("overwrite").parquet(f"{at}/out/{k}")
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{at}/out/*")
+
+
 def ingest_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of the documents of a table as they arrive."""
     return chunking.build_chunks(read_table(spark, path))
@@ -65,15 +77,16 @@ def run_memory(spark: SparkSession, path: str) -> DataFrame:
     return events.groupBy("run_id").applyInPandasWithState(_remember, _MEMORY, "n long, errors long, newest array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def window_counts(spark: SparkSession, path: str, width: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
-    """Events by window and type. Event time and lateness are this engine's addition: rows later than `lateness` aren't counted."""
-    rows = read_table(spark, path).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").withWatermark("ts", lateness)
-    counted = rows.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
-    return counted.select(F.col("window.start").alias("begins"), "event_type", "n", F.round("value", 4).alias("value"))
+def window_counts(spark: SparkSession, path: str, width: str = "1 hour") -> DataFrame:
+    """Events by window and type: counts of each batch, summed per window. Every event with a time counts, however late it comes."""
+    rows = read_table(spark, path).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    count = lambda batch: batch.groupBy(F.window("ts", width).alias("at"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    counted = run_partials(rows, "windows", count).groupBy("at", "event_type").agg(F.sum("n").alias("n"), F.sum("value").alias("value"))
+    return counted.select(F.col("at.start").alias("begins"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
-def distinct_events(spark: SparkSession, path: str, lateness: str = "1 day") -> DataFrame:
-    """Parsed log events, each once within the watermark."""
-    rows = read_table(spark, path).where("run_id is not null").withColumn("at", F.try_to_timestamp("ts")).where("at is not null").withWatermark("at", lateness)
-    once = rows.dropDuplicatesWithinWatermark(["run_id", "at", "event", "stage", "attrs"])
+def distinct_events(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed log events, each once: those of each batch, then once over all batches, however late they come."""
+    rows = read_table(spark, path).where("run_id is not null").withColumn("at", F.try_to_timestamp("ts")).where("at is not null")
+    once = run_partials(rows.select("run_id", "at", "event", "stage", "attrs"), "distinct", lambda batch: batch.distinct()).distinct()
     return once.select("run_id", "at", "event", "stage", F.try_variant_get(F.try_parse_json("attrs"), "$.latency_ms", "long").alias("latency_ms"))

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from evidentia.operators import chunking
 from evidentia.sources import files
@@ -51,3 +52,22 @@ def test_memory_goes_on_over_batches(spark, tmp_path):
     stream = jobs.run_memory(spark, str(tmp_path / "log.parquet"))
     last = jobs.run_available(stream, "memory").orderBy("n_events", ascending=False).first()
     assert (last.n_events, last.n_errors, last.last_events) == (30, 1, ">".join(f"e{k}" for k in range(18, 30)))
+
+
+def test_streams_count_newest_and_late_rows_of_many_files(spark, tmp_path):
+    from evidentia.plans.streams import R
+    from tests.oracle import compare, connect
+
+    hour = "timestamp_ntz'2031-03-01 00:30:00' + make_interval(0, 0, 0, 0, cast({} as int))"
+    events, log = str(tmp_path / "events.parquet"), str(tmp_path / "log_events.parquet")
+    # More files than a batch takes, newest first; then rows days late, among them copies of earlier ones.
+    for at, files in (("id + 200", 70), ("id", 3)):
+        rows = spark.range(140).withColumn("ts", F.expr(hour.format(at)))
+        rows.selectExpr("ts", "if(id % 2 = 0, 'view', null) as event_type", "id * 0.5D as value").repartition(files).write.mode("append").parquet(events)
+        logged = rows.selectExpr("concat('r', id % 7) as run_id", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") as ts", "'hop' as event", "'s' as stage", "concat('{\"latency_ms\":', id, '}') as attrs")
+        logged.repartition(files).write.mode("append").parquet(log)
+    logged.repartition(2).write.mode("append").parquet(log)
+    assert R.queries["stream_event_windows"](spark, str(tmp_path)).agg(F.sum("n")).first()[0] == 280
+    assert R.queries["stream_distinct_events"](spark, str(tmp_path)).count() == 280
+    for name in ("stream_event_windows", "stream_distinct_events"):
+        compare(R.queries[name](spark, str(tmp_path)), connect(str(tmp_path)), R.sql[name])
