@@ -5,10 +5,12 @@ Words are put in one global order, rarest first, which makes records canonical
 texts: equal word sets are equal texts, and similar ones share spans. All
 suffixes of these texts that may start a shared span are sorted over range
 partitions, split by the whole suffix, so no key or word fills a partition.
-One pass over each partition compares adjacent suffixes: a run of suffixes with
-a common prefix that holds both splits reveals a shared span, everything else
-is dropped. The spans left are joined across splits, bounded by size and
-place, and merged into the words that two records share; that count is exact.
+One pass over each partition compares adjacent suffixes by key and first word
+only: a run that holds both splits is kept, everything else is dropped. What is
+left is joined across splits on key and first word, bounded by size and place,
+and the words that two records share are counted exactly. As the definition
+compares word sets, this prefix-filtered join stands in for what a suffix array
+would give: no longer common prefixes are computed, and no spans are merged.
 
 Why this finds all pairs: of two sets with sizes a and b whose similarity is at
 least t, at least `need = ceil(t / (1 + t) * (a + b))` words are shared, so the
