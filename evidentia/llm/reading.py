@@ -1,14 +1,17 @@
 """Reading level of each document by gradient-boosted regression trees.
 
-Every sentence of prose gets a grade: the mean level of its words, where the
-level of a word is the mean level of the labelled documents with the word, and
-words that occur at all levels alike weigh nothing. A document is described by
-distributions: of the grades of its sentences (cumulative shares), of sentence
-and word lengths, of marks (syntax), of its vocabulary, and of the words that
-neighbouring sentences share (cohesion). Boosted trees are trained on these.
+Every sentence of prose gets a grade: the mean of the levels that its words make
+likely. What words tell of levels is fitted to the sentences of the labelled
+documents in rounds: counted first at the levels of the documents, then at the
+likely levels of the sentences, as documents mix sentences of several levels.
+A document is described by distributions: of the grades of its sentences
+(cumulative shares), of sentence and word lengths, of marks (syntax), of its
+vocabulary, and of the words that neighbouring sentences share (cohesion).
+Boosted trees are trained on these.
 
 Cross-validation is by source: the word levels and the trees that grade a
-labelled document come from documents of other groups of sources. Those
+labelled document come from documents of other groups of sources (with labels
+from fewer than three sources, of other ids, and a warning says so). Those
 held-out predictions calibrate the grades: between two levels lies the cut that
 parts the labels with the fewest errors, which a few wrong labels hardly move,
 and grades are stretched so that the cuts are at 1.5, 2.5 and 3.5. Training takes at most `MOST_LABELS` labelled documents
@@ -24,12 +27,14 @@ by its words over the usual words of a sentence of its grade.
 Defined cases: null ids, texts and (for labels) levels outside 1 to 4 don't
 count; a repeated label counts once, unequal ones of a document by their mean;
 a repeated document counts once, with its highest level; a document without
-prose is graded by its other features; without any label no row is graded.
+prose, or without a known word, has the usual shares of sentences and a mark that
+it has none, and is graded by its other features; without any label no row is graded.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -43,12 +48,16 @@ from evidentia.llm import _text
 from evidentia.session import cut
 
 MOST_LABELS, FOLDS, LEAST_DOCUMENTS = 20_000, 3, 3
+#: How often the words' levels are fitted anew to the sentences, the first share of sentences at their document's level.
+ROUNDS, OWN_SHARE = 3, 0.7
+LEVELS, LEAST_WEIGHT, MOST_WORDS = 4, 0.05, 1000
 #: Upper ends of the grade bins.
 GRADES = np.arange(1.25, 4.0, 0.25)
 BINS = len(GRADES) + 1
 _HYPHEN = re.compile(r"(?<=[A-Za-z])-[ \t]*\n[ \t]*(?=[a-z])")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|&nbsp;")
 _OTHER = re.compile(r"^(?:[ \t]*(?:[-*+•◦▪#|>~`<]|\d+[.)][ \t]|https?:).*|.*[\t|{}=<>].*|[^A-Za-z\n]*)$", re.M)
+_LEVEL_SUMS = tuple(f"c{k + 1}" for k in range(LEVELS))
 _OTHER_FEATURES = ("words", "letters_a_word", "long_words", "words_a_sentence", "words_90th", "commas_a_sentence", "distinct_share", "shared_next", "mean_grade", "known_share", "marked")
 
 
@@ -60,62 +69,79 @@ def prose(text: str) -> str:
 
 
 class Lexicon:
-    """Level and weight of words by their hash."""
+    """For words by their hash: the logarithm of how much likelier each level makes them, and the information they give."""
 
-    def __init__(self, hashes, n, total, squares):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes, n, total, squares = hashes[order], n[order].astype(float), total[order], squares[order]
-        mean, spread = (total.sum() / max(n.sum(), 1), 1.0) if len(n) else (2.5, 1.0)
-        if len(n):
-            spread = max(1e-6, squares.sum() / n.sum() - mean * mean)
-        # Drawn towards the mean of all as if seen in two more documents.
-        self.level = (total + 2 * mean) / (n + 2)
-        variance = np.maximum(0, squares / np.maximum(n, 1) - (total / np.maximum(n, 1)) ** 2)
-        self.weight = np.clip(1 - (variance * n + 2 * spread) / (n + 2) / spread, 0, 1) ** 2
-        self.mean = mean
+        self.hashes, counts = hashes[order], counts[order]
+        if not len(hashes):
+            return
+        share = (counts.sum(0) + 1) / (counts.sum() + LEVELS)
+        # As if seen once more, at all levels alike.
+        ratio = (counts + share) / (counts.sum(1, keepdims=True) * share + share)
+        self.logs = np.clip(np.log(ratio), -3, 3)
+        self.weight = (share * ratio * np.log(ratio)).sum(1)
 
     def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.hashes):
-            return np.zeros(len(hashes)), np.zeros(len(hashes))
+            return np.zeros((len(hashes), LEVELS)), np.zeros(len(hashes))
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         hit = self.hashes[at] == hashes
-        return np.where(hit, self.level[at], 0.0), np.where(hit, self.weight[at], 0.0)
+        return np.where(hit[:, None], self.logs[at], 0.0), np.where(hit, self.weight[at], 0.0)
+
+
+def _posterior(logs: np.ndarray) -> np.ndarray:
+    e = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _by_sentence(sid: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
+    return np.stack([np.bincount(sid, values[:, k], minlength=n) for k in range(values.shape[1])], 1)
 
 
 def _ratio(a, b):
     return a / np.maximum(b, 1e-9)
 
 
+class _Sentences:
+    """The words of several texts' prose, the sentence of each, and the row of each sentence."""
+
+    def __init__(self, texts: list[str]):
+        n = len(texts)
+        self.words = w = _text.Words([prose(t) for t in texts])
+        codes, rows = w.codes, w.rows
+        # Sentence ends; the dots of `e.g.` and the like don't count.
+        after, before = np.append(codes[1:], 10), np.concatenate(([0, 0], codes[:-2]))[: len(codes)]
+        mark = np.isin(codes, [46, 33, 63, 59]) & np.isin(after, [32, 10, 9]) & ~((codes == 46) & (before == 46))
+        place = np.flatnonzero(mark)
+        marks = np.bincount(np.searchsorted(w.bounds, place), minlength=n)[:n]
+        self.n_words = np.bincount(rows, minlength=n)
+        self.marked = marks * 60 >= self.n_words
+        breaks = np.flatnonzero(codes == 10)
+        row_of_break = np.minimum(np.searchsorted(w.bounds, breaks), n - 1)
+        ends = np.sort(np.concatenate((place, breaks[~self.marked[row_of_break]])))
+        sentence = np.searchsorted(ends, w.starts)
+        new = np.concatenate(([True], (sentence[1:] != sentence[:-1]) | (rows[1:] != rows[:-1])))[: len(rows)]
+        self.sid, self.of_row = np.cumsum(new) - 1, rows[new]
+
+
 def _describe(texts: list[str], folds: list[int], lexicons: dict[int, Lexicon]):
     """Per text: sentences by grade bin, words by grade bin, and the other features."""
     n = len(texts)
-    w = _text.Words([prose(t) for t in texts])
     counts, sizes, other = np.zeros((n, BINS)), np.zeros((n, BINS)), np.zeros((n, len(_OTHER_FEATURES)))
+    parts = _Sentences(texts)
+    w, sid, of_row, marked, all_words = parts.words, parts.sid, parts.of_row, parts.marked, parts.n_words
+    codes, rows = w.codes, w.rows
     if not len(w.starts):
         return counts, sizes, other
-    codes, rows = w.codes, w.rows
-    # Sentence ends; the dots of `e.g.` and the like don't count.
-    after, before = np.append(codes[1:], 10), np.concatenate(([0, 0], codes[:-2]))
-    mark = np.isin(codes, [46, 33, 63, 59]) & np.isin(after, [32, 10, 9]) & ~((codes == 46) & (before == 46))
-    place = np.flatnonzero(mark)
-    marks = np.bincount(np.searchsorted(w.bounds, place), minlength=n)[:n]
-    all_words = np.bincount(rows, minlength=n)
-    marked = marks * 60 >= all_words
-    breaks = np.flatnonzero(codes == 10)
-    row_of_break = np.minimum(np.searchsorted(w.bounds, breaks), n - 1)
-    ends = np.sort(np.concatenate((place, breaks[~marked[row_of_break]])))
-    sentence = np.searchsorted(ends, w.starts)
-    new = np.concatenate(([True], (sentence[1:] != sentence[:-1]) | (rows[1:] != rows[:-1])))
-    sid = np.cumsum(new) - 1
-    of_row = rows[new]
-    level, weight = np.zeros(len(rows)), np.zeros(len(rows))
+    logs, weight = np.zeros((len(rows), LEVELS)), np.zeros(len(rows))
     fold_of = np.asarray(folds)[rows]
     for k in np.unique(fold_of):
         mine = fold_of == k
-        level[mine], weight[mine] = lexicons[int(k)].of(w.hashes[mine])
+        logs[mine], weight[mine] = lexicons[int(k)].of(w.hashes[mine])
     size, total = np.bincount(sid), np.bincount(sid, weight)
-    grade = _ratio(np.bincount(sid, weight * level), total)
-    real = (total >= 0.05) & (size >= 2)
+    grade = _posterior(_by_sentence(sid, len(size), logs)) @ np.arange(1, LEVELS + 1)
+    real = (total >= LEAST_WEIGHT) & (size >= 2)
     bins = np.searchsorted(GRADES, grade)
     np.add.at(counts, (of_row[real], bins[real]), 1)
     np.add.at(sizes, (of_row[real], bins[real]), size[real])
@@ -131,11 +157,13 @@ def _describe(texts: list[str], folds: list[int], lexicons: dict[int, Lexicon]):
     close = same & (np.diff(sid[by_word]) == 1)
     shared = np.bincount(rows[by_word][1:][close], minlength=n)
     commas = np.bincount(np.minimum(np.searchsorted(w.bounds, np.flatnonzero(codes == 44)), n - 1), minlength=n)
-    known = np.bincount(rows, weight > 0.05, minlength=n)
+    known = np.bincount(rows, weight > LEAST_WEIGHT, minlength=n)
+    mean_grade = _ratio(np.bincount(of_row[real], grade[real], minlength=n), np.bincount(of_row[real], minlength=n))
+    # Counts are bounded and set against others, so that no length alone can tell a level.
     columns = (
-        all_words, _ratio(np.bincount(rows, letters, minlength=n), all_words), _ratio(np.bincount(rows, letters > 9, minlength=n), all_words), _ratio(all_words, sentences),
-        np.where(sentences > 0, ninetieth, 0), _ratio(commas, sentences), _ratio(all_words - repeated, all_words), _ratio(shared, all_words),
-        _ratio(np.bincount(rows, weight * level, minlength=n), np.bincount(rows, weight, minlength=n)), _ratio(known, all_words), marked,
+        np.minimum(all_words, MOST_WORDS), _ratio(np.bincount(rows, letters, minlength=n), all_words), _ratio(np.bincount(rows, letters > 9, minlength=n), all_words), _ratio(all_words, sentences),
+        np.where(sentences > 0, ninetieth, 0), _ratio(commas, sentences), np.log(np.maximum(all_words - repeated, 1)) / np.log(np.maximum(all_words, 2)), _ratio(shared, all_words),
+        mean_grade, _ratio(known, all_words), marked,
     )
     return counts, sizes, np.stack([np.asarray(c, float) for c in columns], 1)
 
@@ -160,44 +188,87 @@ def _described(df: DataFrame, lexicons) -> DataFrame:
     return df.mapInArrow(run, ", ".join([*fields, "n_words int", "counts array<double>", "sizes array<double>", "other array<double>"]))
 
 
-def _features(usual: list[float]) -> Column:
-    """The cumulative shares of sentences by grade, their median, then the other features, as one vector."""
+def _features(usual: list[float], shares: list[float]) -> Column:
+    """The cumulative shares of sentences by grade, their median, whether there are any, then the other features, as one vector.
+
+    A text without graded sentences has the shares of the labelled documents.
+    """
     marked = F.element_at("other", -1) > 0
     typical = F.array(*[F.lit(x) for x in usual])
     amount = F.when(marked, F.col("counts")).otherwise(F.zip_with("sizes", typical, lambda x, y: x / y))
     total = F.aggregate(amount, F.lit(0.0), lambda s, x: s + x)
-    upto = [F.aggregate(F.slice(amount, 1, k + 1), F.lit(0.0), lambda s, x: s + x) / F.greatest(total, F.lit(1e-9)) for k in range(BINS - 1)]
+    upto = [F.when(total > 0, F.aggregate(F.slice(amount, 1, k + 1), F.lit(0.0), lambda s, x: s + x) / total).otherwise(F.lit(shares[k])) for k in range(BINS - 1)]
     # The bin of the median sentence: where more than half are of one level, it is of that level.
     median = F.aggregate(F.array(*upto), F.lit(0.0), lambda s, x: s + F.when(x < 0.5, 1.0).otherwise(0.0))
-    return array_to_vector(F.concat(F.array(*upto), F.array(median), F.col("other")))
+    return array_to_vector(F.concat(F.array(*upto), F.array(median, (total > 0).cast("double")), F.col("other")))
 
 
-def _lexicons(labelled: DataFrame) -> dict[int, Lexicon]:
-    """Word levels without each fold, and (fold -1) of all labelled documents."""
+def _sentence_words(labelled: DataFrame) -> DataFrame:
+    """(fold, level, words, sentences): the words of each labelled document's prose and the sentence of each."""
 
     def run(batches):
         for batch in batches:
-            texts = [prose(t) for t in batch.column("text").to_pylist()]
-            level, fold = batch.column("level").to_numpy(), batch.column("fold").to_numpy()
+            texts = batch.column("text").to_pylist()
             for a, b in _text.slices(texts):
-                rows, hashes = _text.distinct(*_text.words(texts[a:b]))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(fold[a:b][rows]), pa.array(level[a:b][rows])], ["word", "fold", "level"])
+                parts = _Sentences(texts[a:b])
+                ends = pa.array(np.concatenate(([0], np.cumsum(parts.n_words))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (parts.words.hashes.view(np.int64), parts.sid.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column("fold").slice(a, b - a), batch.column("level").slice(a, b - a), *lists], ["fold", "level", "words", "sentences"])
+
+    return labelled.select("text", "level", "fold").mapInArrow(run, "fold int, level double, words array<long>, sentences array<int>")
+
 
-    words = labelled.select("text", "level", "fold").mapInArrow(run, "word long, fold int, level double")
-    by_fold = words.groupBy("word", "fold").agg(F.count("*").alias("n"), F.sum("level").alias("total"), F.sum(F.col("level") ** 2).alias("squares"))
-    # At most as many rows as the bounded sample of labelled documents has common words, times the folds.
-    common = by_fold.groupBy("word").agg(F.sum("n").alias("m"), F.collect_list(F.struct("fold", "n", "total", "squares")).alias("folds")).where(F.col("m") >= LEAST_DOCUMENTS)
-    table = common.select("word", F.explode("folds").alias("f")).select("word", "f.*").toArrow()
-    word, fold = table.column("word").to_numpy().view(np.uint64), table.column("fold").to_numpy()
-    values = [table.column(c).to_numpy().astype(float) for c in ("n", "total", "squares")]
+def _prior(level: np.ndarray) -> np.ndarray:
+    """The share of each level in a document's sentences as its label has it; a label between two levels is split."""
+    own = np.maximum(0, 1 - np.abs(level[:, None] - np.arange(1, LEVELS + 1)))
+    return OWN_SHARE * own + (1 - OWN_SHARE) / (LEVELS - 1) * (1 - own)
 
-    def made(mask):
-        kinds, at = np.unique(word[mask], return_inverse=True)
-        n, total, squares = (np.bincount(at, v[mask], minlength=len(kinds)) for v in values)
-        enough = n >= LEAST_DOCUMENTS
-        return Lexicon(kinds[enough], n[enough], total[enough], squares[enough])
 
-    return {-1: made(np.ones(len(word), bool))} | {k: made(fold != k) for k in range(FOLDS)}
+def _counted(sentences: DataFrame, lexicons) -> DataFrame:
+    """(word, without, docs, c1 to c4): documents with the word, and its occurrences by the level of their sentence, without each fold."""
+
+    def run(batches):
+        for batch in batches:
+            words = batch.column("words")
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))
+            hashes, sid = words.flatten().to_numpy(), batch.column("sentences").flatten().to_numpy()
+            if not len(hashes):
+                continue
+            new = np.concatenate(([True], (sid[1:] != sid[:-1]) | (doc[1:] != doc[:-1])))
+            sid, of_doc = np.cumsum(new) - 1, doc[new]
+            prior, fold = np.log(_prior(batch.column("level").to_numpy())), batch.column("fold").to_numpy()
+            for k in range(-1, FOLDS):
+                mine = fold[doc] != k
+                if not mine.any():
+                    continue
+                logs = 0.0 if lexicons is None else _by_sentence(sid, len(of_doc), lexicons.value[k].of(hashes.view(np.uint64))[0])
+                level = _posterior(prior[of_doc] + logs)[sid[mine]]
+                kinds, at = np.unique(hashes[mine], return_inverse=True)
+                docs = np.bincount(np.unique(at * np.int64(batch.num_rows) + doc[mine]) // batch.num_rows, minlength=len(kinds))
+                sums = _by_sentence(at, len(kinds), level)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.full(len(kinds), k, np.int32)), pa.array(docs)] + [pa.array(sums[:, j]) for j in range(LEVELS)], ["word", "without", "docs", *_LEVEL_SUMS])
+
+    return sentences.mapInArrow(run, "word long, without int, docs long, " + ", ".join(f"{c} double" for c in _LEVEL_SUMS))
+
+
+def _lexicons(labelled: DataFrame):
+    """What words tell of levels, without each fold, and (fold -1) of all labelled documents.
+
+    A document of one level holds sentences of others: words are first counted at
+    their documents' levels, then at the likely levels of their sentences.
+    """
+    spark = labelled.sparkSession
+    sentences, lexicons = cut(_sentence_words(labelled), "sentences"), None
+    for _ in range(1 + ROUNDS):
+        sums = _counted(sentences, lexicons).groupBy("word", "without").agg(F.sum("docs").alias("docs"), *[F.sum(c).alias(c) for c in _LEVEL_SUMS])
+        # At most as many rows as the bounded sample of labelled documents has common words, for each fold.
+        table = sums.where(F.col("docs") >= LEAST_DOCUMENTS).toArrow()
+        word, without = table.column("word").to_numpy().view(np.uint64), table.column("without").to_numpy()
+        counts = np.stack([table.column(c).to_numpy() for c in _LEVEL_SUMS], 1)
+        if lexicons is not None:
+            lexicons.destroy()
+        lexicons = spark.sparkContext.broadcast({k: Lexicon(word[without == k], counts[without == k]) for k in range(-1, FOLDS)})
+    return lexicons
 
 
 def _folds(labelled: DataFrame) -> DataFrame:
@@ -207,7 +278,8 @@ def _folds(labelled: DataFrame) -> DataFrame:
     for row in sizes:
         k = min(range(FOLDS), key=lambda i: filled[i])
         fold_of[row.source], filled[k] = k, filled[k] + row["count"]
-    if len(fold_of) < FOLDS:  # too few sources to hold any out
+    if len(fold_of) < FOLDS:
+        warnings.warn(f"{len(fold_of)} sources have labels: documents are held out by their ids instead of by source", stacklevel=2)
         return labelled.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int"))
     plan = labelled.sparkSession.createDataFrame(list(fold_of.items()), "source string, fold int")
     return labelled.join(F.broadcast(plan), "source")
@@ -231,7 +303,7 @@ def _cuts(held) -> list[float]:
 class ReadingModel:
     """Word levels, trees and calibration fitted on labelled documents; `held_out` has (id, source, level, grade)."""
 
-    def __init__(self, df: DataFrame, labels: DataFrame, id_col: str, text_col: str, source_col: str, level_col: str, *, rounds: int = 30, depth: int = 3, seed: int = 0):
+    def __init__(self, df: DataFrame, labels: DataFrame, id_col: str, text_col: str, source_col: str, level_col: str, *, rounds: int = 12, depth: int = 3, seed: int = 0):
         spark = df.sparkSession
         documents = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.regexp_replace(F.lower(F.trim(source_col)), "-", "_"), F.lit("none")).alias("source"))
         rated = labels.select(F.col(id_col).alias("id"), F.col(level_col).cast("double").alias("level")).where("id is not null and level between 1 and 4").distinct()
@@ -242,13 +314,17 @@ class ReadingModel:
         self.empty = labelled.isEmpty()
         if self.empty:
             return
-        self.lexicons = spark.sparkContext.broadcast(_lexicons(labelled))
+        self.lexicons = _lexicons(labelled)
         described = cut(_described(labelled.select("id", "text", "source", "level", "fold"), self.lexicons), "described")
         sums = described.where(F.element_at("other", -1) > 0).agg(*[F.sum(F.element_at(c, k + 1)).alias(f"{c}{k}") for c in ("counts", "sizes") for k in range(BINS)]).first()
         whole = sum(sums[f"sizes{k}"] or 0 for k in range(BINS)) / max(1, sum(sums[f"counts{k}"] or 0 for k in range(BINS))) or 15.0
         self.usual = [((sums[f"sizes{k}"] or 0) + whole) / ((sums[f"counts{k}"] or 0) + 1) for k in range(BINS)]
-        rows = described.select("id", "source", "level", "fold", _features(self.usual).alias("features")).coalesce(4).cache()
-        trees = GBTRegressor(labelCol="level", predictionCol="grade", maxIter=rounds, maxDepth=depth, stepSize=0.2, maxBins=64, seed=seed, minInstancesPerNode=2)
+        total = max(1.0, sum(sums[f"counts{k}"] or 0 for k in range(BINS)))
+        self.shares = (np.cumsum([sums[f"counts{k}"] or 0 for k in range(BINS)]) / total).tolist()
+        rows = described.select("id", "source", "level", "fold", _features(self.usual, self.shares).alias("features")).coalesce(4).cache()
+        # A leaf of a few labels, some of which are wrong, says nothing.
+        least = max(2, rows.count() // 32)
+        trees = GBTRegressor(labelCol="level", predictionCol="grade", maxIter=rounds, maxDepth=depth, stepSize=0.2, maxBins=64, seed=seed, minInstancesPerNode=least)
 
         def fitted(k):
             part = rows if k < 0 else rows.where(F.col("fold") != k)
@@ -277,6 +353,6 @@ class ReadingModel:
         if self.empty:
             return df.sparkSession.createDataFrame([], "id long, n_words int, grade double, reading_level int")
         source = df.select(F.col(id_col).alias("id"), F.lit(-1).alias("fold"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-        described = _described(source, self.lexicons).select("id", "n_words", _features(self.usual).alias("features"))
+        described = _described(source, self.lexicons).select("id", "n_words", _features(self.usual, self.shares).alias("features"))
         graded = self._calibrated(self.trees.transform(described)).select("id", "n_words", F.col("calibrated").alias("grade"), "reading_level")
         return graded.groupBy("id").agg(F.max(F.struct("reading_level", "grade", "n_words")).alias("g")).select("id", "g.n_words", "g.grade", "g.reading_level")

@@ -50,3 +50,25 @@ def test_prose():
     assert reading.prose("<p>One.</p><p class='x'>Two, i.e.</p><p>2.</p>").split() == ["One.", "Two,", "i.e.", "2."]
     kept = reading.prose(text)
     assert "sentence here." in kept and "And more." in kept and "item" not in kept and "Title" not in kept and "https" not in kept
+
+
+def test_texts_of_one_level_at_any_length(spark):
+    docs, labels = data(spark)
+    model = reading.ReadingModel(docs, labels, "doc_id", "text", "source", "reading_level")
+    texts = {}
+    for level in (1, 2, 3, 4):
+        sentence = "The " + " ".join(WORDS[level][:3]) + " is so. "
+        for k, n_words in enumerate((10, 1000, 50_000)):
+            texts[10 * level + k] = sentence * -(-n_words // 6)
+    unknown = {90: "Qwe rty uio. Asd fgh jkl. " * 30}
+    got = {r.id: r.reading_level for r in model.grade(spark.createDataFrame(list((texts | unknown).items()), "id long, text string"), "id", "text").collect()}
+    assert {k: got[k] for k in texts} == {k: k // 10 for k in texts} and got[90] in (1, 2, 3, 4)
+
+
+def test_words_of_mixed_documents_carry_weight(spark):
+    docs, labels = data(spark)
+    model = reading.ReadingModel(docs, labels, "doc_id", "text", "source", "reading_level")
+    hashes = reading._text.words([" ".join(sum(WORDS.values(), []) + ["the", "is"])])[1]
+    logs, weight = model.lexicons.value[-1].of(hashes)
+    want = [level - 1 for level, words in WORDS.items() for _ in words]
+    assert logs[: len(want)].argmax(1).tolist() == want and weight[: len(want)].min() > 0.5 > weight[len(want) :].max()
