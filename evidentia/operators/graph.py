@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.session import cut
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node reached.
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014), each
@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round is written to the scratch folder, so lineage doesn't grow. A
     node with very many neighbours is split by the partial aggregation of the
     minimum and by AQE's skew join. Self-links and repeated links are allowed;
-    links with a null end are ignored.
+    links with a null end are ignored. Rounds grow with the logarithm of the
+    longest chain; running out of them is an error, never a result.
     """
     links = edges.where("a is not null and b is not null")
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
@@ -33,4 +34,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"the components haven't converged after {max_rounds} rounds")
     return nodes.join(now.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

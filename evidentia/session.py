@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,13 +27,42 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
     )
 
 
+_scratch: dict[str, str] = {}
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; one of our own only where it is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="evidentia-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    """This application's folder in the shared one that spark.checkpoint.dir names; it is removed when the driver ends.
+
+    Only a local session may go without the setting and gets a folder of its own
+    machine; on a cluster that would lose rows, so it is an error there.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _scratch:
+        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            named = "file://" + tempfile.mkdtemp(prefix="evidentia-")
+            spark.conf.set("spark.checkpoint.dir", named)
+        made = f"{named.rstrip('/')}/evidentia-{context.applicationId}"
+        files, path = _hadoop_path(spark, made)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _scratch[context.applicationId] = made
+    return _scratch[context.applicationId]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the tables that this application has written so far; DataFrames that read them can't be used any more."""
+    made = _scratch.pop(spark.sparkContext.applicationId, None)
+    if made:
+        files, path = _hadoop_path(spark, made)
+        files.delete(path, True)
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:

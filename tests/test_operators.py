@@ -269,3 +269,28 @@ def test_components(spark):
     got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_that_do_not_converge_are_an_error(spark):
+    from evidentia.operators.graph import connected_components
+
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        connected_components(chain, max_rounds=1)
+    assert {r.component for r in connected_components(chain).collect()} == {0}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from evidentia import session
+
+    class Conf(dict):
+        def get(self, name, default=None):
+            return default
+
+    far = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="far", master="spark://host:7077", getConf=lambda: Conf()), conf=Conf())
+    with pytest.raises(ValueError):
+        session.scratch_dir(far)
+    kept = session.cut(spark.range(5), "kept")
+    assert kept.count() == 5 and session.scratch_dir(spark).endswith(spark.sparkContext.applicationId)
