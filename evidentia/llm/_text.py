@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 #: Characters handled at once; keeps the working arrays of a task at tens of MB.
@@ -105,16 +106,16 @@ def distinct(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class CountTable:
-    """How often hashes occur, in 2**bits counters of 16 bits that stop at 65,535.
+    """How often hashes occur, in 2**bits counters of 32 bits for a partition and 64 for all.
 
     The size is fixed, so the table may be broadcast. Hashes that share a
-    counter add up: a count is never below the true one (short of 65,535).
+    counter add up: a count is never below the true one.
     """
 
     BLOCK = 1 << 14
 
     def __init__(self, bits: int):
-        self.bits, self.counts = bits, np.zeros(1 << bits, np.uint16)
+        self.bits, self.counts = bits, np.zeros(1 << bits, np.uint32)
         self._waiting: list[np.ndarray] = []
         self._size = 0
 
@@ -127,16 +128,17 @@ class CountTable:
     def flush(self) -> None:
         if self._size:
             at, n = np.unique(np.concatenate(self._waiting), return_counts=True)
-            self.counts[at] = np.minimum(self.counts[at].astype(np.int64) + n, 65535)
+            self.counts[at] += n.astype(np.uint32)
         self._waiting, self._size = [], 0
 
     def blocks(self) -> Iterable[tuple[int, bytes]]:
+        """The counters by block, all first bytes together: the many zero bytes compress well."""
         self.flush()
         size = min(self.BLOCK, len(self.counts))
         for k in range(len(self.counts) // size):
             part = self.counts[k * size : (k + 1) * size]
             if part.any():
-                yield k, part.tobytes()
+                yield k, part.view(np.uint8).reshape(size, 4).T.tobytes()
 
 
 def merged_counts(parts, bits: int) -> np.ndarray:
@@ -144,18 +146,15 @@ def merged_counts(parts, bits: int) -> np.ndarray:
 
     Only the merged table, of fixed size, reaches the driver.
     """
+    size = min(CountTable.BLOCK, 1 << bits)
 
     def merge(key, table):
-        total = None
+        total = np.zeros(size, np.int64)
         for payload in table.column("payload").to_pylist():
-            part = np.frombuffer(payload, np.uint16).astype(np.int64)
-            total = part if total is None else total + part
-        import pyarrow as pa
+            total += np.ascontiguousarray(np.frombuffer(payload, np.uint8).reshape(4, size).T).view(np.uint32).ravel()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "payload": pa.array([total.tobytes()], pa.binary())})
 
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "payload": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
-
-    counts = np.zeros(1 << bits, np.uint16)
-    size = min(CountTable.BLOCK, len(counts))
+    counts = np.zeros(1 << bits, np.int64)
     for row in parts.groupBy("block").applyInArrow(merge, "block int, payload binary").toLocalIterator():
-        counts[row.block * size : (row.block + 1) * size] = np.frombuffer(row.payload, np.uint16)
+        counts[row.block * size : (row.block + 1) * size] = np.frombuffer(row.payload, np.int64)
     return counts

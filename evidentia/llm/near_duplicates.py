@@ -5,19 +5,25 @@ share a row, their *class*) and a column for each run of `width` words. Its
 product with its own transpose counts the runs that two classes share. Three
 bounds that follow from the sizes of the two sets keep the product sparse:
 
-* columns are put in one global order, rarest first by a count table of fixed
-  size; two sets that reach the similarity must share `least` columns near
+* columns are put in one global order, rarest first; two sets that reach the similarity must share `least` columns near
   their front (how near depends on both sizes), so only the front is
   multiplied;
 * a product of two entries is dropped when their positions leave too few
   columns for the overlap that the sizes demand;
 * pairs whose accumulated products stay below `least` are discarded.
 
-The order of columns affects the work only, never the result. What is left is
-checked exactly on the whole sets. The matrix travels as packed blocks of
-columns, so the JVM moves a few thousand rows rather than every entry. A column
-that may be longer than `HOT_COLUMN` is cut into bands; each pair of bands goes
-to a block of its own.
+The order of columns affects the work only, never the result. It comes from a
+table of 2**`sketch_bits` counters, each the sum over the columns that share it.
+A counter adds one in so many of all entries to a column's own count on average,
+so columns are told apart by the share of entries they hold, and a column with
+several such shares is known to be frequent at any size of the corpus. What is
+left is checked exactly on the whole sets. The matrix travels as packed blocks
+of columns, a partition for about each block, so that tasks keep their size
+while the corpus grows. A column that may be longer than `HOT_COLUMN` is cut
+into bands; each pair of bands goes to a block of its own.
+
+A class is known by 128 bits of its set's hashes. Half of them travel with the
+entries; the exact check joins by all of them.
 
 Defined cases: null, empty and short texts (fewer than `min_words` words) are
 in no pair and no class. A repeated id counts once, with its greatest class id
@@ -27,9 +33,8 @@ if its texts differ. Extra columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import _text
@@ -37,8 +42,10 @@ from evidentia.session import cut
 
 #: Entries of one column that a single block multiplies with each other.
 HOT_COLUMN = 4096
+#: Bits of the filter for classes that are checked, for each of them and at most: it only saves sending sets that nobody needs.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 #: A column is told from the others of its block by 32 bits; should two agree, a pair may be checked in vain.
-_ENTRY = np.dtype([("column", "<u4"), ("cls", "<i8"), ("size", "<i4"), ("place", "<i4"), ("band", "<u2"), ("side", "<u2")])
+_ENTRY = np.dtype([("column", "<u4"), ("cls", "<i8"), ("size", "<i4"), ("place", "<i4"), ("band", "<u4"), ("side", "<u4")])
 _PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("products", "<u4")])
 
 
@@ -69,19 +76,40 @@ def _packed_by(block: np.ndarray, rows: np.ndarray) -> list[pa.Array]:
 
 
 def _classes(texts: list[str | None], width: int, min_words: int):
-    """Per row of a batch: is it long enough, its class and set size; and all its runs, sorted."""
+    """Per row of a batch: is it long enough, the two halves of its class, and set size; and all its runs, sorted."""
     rows, hashes = _text.words(texts)
     long = np.bincount(rows, minlength=len(texts)) >= max(min_words, width)
     keep = long[rows] if len(rows) else np.zeros(0, bool)
     rows, runs = _text.shingles(rows[keep], hashes[keep], width)
     sizes = np.bincount(rows, minlength=len(texts)).astype(np.int64)
-    ids = np.zeros(len(texts), np.uint64)
+    ids, checks = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
     if len(rows):
         starts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
         spread = _text.mix(runs ^ np.uint64(0x5851F42D4C957F2D))
         value = np.add.reduceat(spread, starts) ^ _text.mix(np.bitwise_xor.reduceat(_text.mix(spread), starts) + sizes[rows[starts]].astype(np.uint64))
         ids[rows[starts]] = _text.mix(value)
-    return long, ids.view(np.int64), sizes, rows, runs
+        checks[rows[starts]] = np.add.reduceat(_text.mix(spread ^ np.uint64(0x2545F4914F6CDD1D)), starts)
+    return long, ids.view(np.int64), checks.view(np.int64), sizes, rows, runs
+
+
+class _Once:
+    """Which rows of each batch have a class that no row before had."""
+
+    def __init__(self):
+        self.done = set()
+
+    def __call__(self, ids: np.ndarray, checks: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        new = np.zeros(len(ids), bool)
+        for i in np.flatnonzero(wanted):
+            if (key := (int(ids[i]), int(checks[i]))) not in self.done:
+                self.done.add(key)
+                new[i] = True
+        return new
+
+
+def _whole(cls: str = "cls", check: str = "check") -> Column:
+    """All 128 bits of a class, as text."""
+    return F.concat(F.lpad(F.hex(cls), 16, "0"), F.lpad(F.hex(check), 16, "0"))
 
 
 def _text_batches(batches, text: str):
@@ -92,34 +120,34 @@ def _text_batches(batches, text: str):
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, min_words: int, sketch_bits: int) -> DataFrame:
-    """(id, cls, size) of each long enough row, and the blocks of each partition's count table."""
+    """(id, cls, check, size) of each long enough row, and the blocks of each partition's count table, in which copies count once."""
 
     def run(batches):
-        counts = _text.CountTable(sketch_bits)
+        counts, once = _text.CountTable(sketch_bits), _Once()
         for batch, texts in _text_batches(batches, "text"):
-            long, ids, sizes, _, runs = _classes(texts, width, min_words)
-            counts.add(runs)
+            long, ids, checks, sizes, rows, runs = _classes(texts, width, min_words)
+            counts.add(runs[once(ids, checks, sizes > 0)[rows]])
             at = np.flatnonzero(long)
             none = pa.nulls(len(at))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(at)), pa.array(ids[at]), pa.array(sizes[at].astype(np.int32)), none.cast(pa.int32()), none.cast(pa.binary())],
-                ["id", "cls", "size", "block", "payload"],
+                [batch.column("id").take(pa.array(at)), pa.array(ids[at]), pa.array(checks[at]), pa.array(sizes[at].astype(np.int32)), none.cast(pa.int32()), none.cast(pa.binary())],
+                ["id", "cls", "check", "size", "block", "payload"],
             )
         for k, payload in counts.blocks():
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([k], pa.int32()), pa.array([payload], pa.binary())],
-                ["id", "cls", "size", "block", "payload"],
+                [pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([k], pa.int32()), pa.array([payload], pa.binary())],
+                ["id", "cls", "check", "size", "block", "payload"],
             )
 
     source = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return source.mapInArrow(run, "id string, cls long, size int, block int, payload binary")
+    return source.mapInArrow(run, "id string, cls long, check long, size int, block int, payload binary")
 
 
 def _front(df: DataFrame, text_col: str, counts, n_blocks: int, width: int, min_words: int, similarity: float, least: int) -> DataFrame:
     """The entries near the front of every set, packed by block of columns."""
 
     def run(batches):
-        table, done = counts.value, set()
+        table, once = counts.value, _Once()
         mask = np.uint64(len(table) - 1)
         waiting, held = [], 0
 
@@ -129,17 +157,12 @@ def _front(df: DataFrame, text_col: str, counts, n_blocks: int, width: int, min_
             return pa.RecordBatch.from_arrays(_packed_by(block[order], entries[order]), ["block", "payload"])
 
         def place_in(part, column):
-            spread = column + (part["band"].astype(np.uint64) * np.uint64(65536) + part["side"]) * np.uint64(0x9E3779B97F4A7C15)
+            spread = column + (part["band"].astype(np.uint64) * np.uint64(1 << 32) + part["side"]) * np.uint64(0x9E3779B97F4A7C15)
             waiting.append((part, (_text.mix(spread) % np.uint64(n_blocks)).astype(np.int32)))
 
         for _, texts in _text_batches(batches, "text"):
-            _, ids, sizes, rows, runs = _classes(texts, width, min_words)
-            new = np.zeros(len(texts), bool)
-            for i in np.flatnonzero(sizes):  # copies within a partition send their entries once
-                if (key := int(ids[i])) not in done:
-                    done.add(key)
-                    new[i] = True
-            keep = new[rows]
+            _, ids, checks, sizes, rows, runs = _classes(texts, width, min_words)
+            keep = once(ids, checks, sizes > 0)[rows]  # copies within a partition send their entries once
             rows, runs = rows[keep], runs[keep]
             seen = table[(runs & mask).astype(np.int64)]
             order = np.lexsort((runs, seen, rows))
@@ -166,6 +189,9 @@ def _front(df: DataFrame, text_col: str, counts, n_blocks: int, width: int, min_
                     copy["place"] = np.where(own > other, -copy["place"] - 1, copy["place"])
                     place_in(copy, column[bands == n])
                     held += len(copy)
+                    if held > 150_000:
+                        yield packed()
+                        waiting, held = [], 0
             if held > 150_000:
                 yield packed()
                 waiting, held = [], 0
@@ -182,7 +208,8 @@ def _product(similarity: float, least: int, n_blocks: int):
 
     def run(table: pa.Table) -> pa.Table:
         e = _unpack(table.column("payload").to_pylist(), _ENTRY)
-        column = e["column"].astype(np.uint64) | (e["band"].astype(np.uint64) << np.uint64(32)) | (e["side"].astype(np.uint64) << np.uint64(48))
+        bands = e["band"].astype(np.uint64) * np.uint64(1 << 32) + e["side"]
+        column = e["column"].astype(np.uint64) | (np.unique(bands, return_inverse=True)[1].astype(np.uint64) << np.uint64(32))
         order = np.lexsort((e["cls"], e["size"], column))
         e, column = e[order], column[order]
         new = np.concatenate(([True], (column[1:] != column[:-1]) | (e["cls"][1:] != e["cls"][:-1])))
@@ -238,22 +265,39 @@ def _likely(least: int):
 
 
 def _sets(df: DataFrame, text_col: str, wanted, width: int, min_words: int) -> DataFrame:
-    """(cls, runs) of the classes whose counter in the table `wanted` isn't zero, once per partition."""
+    """(cls, check, runs) of the classes whose bit in the filter `wanted` is set, once per partition."""
 
     def run(batches):
-        table, done = wanted.value, set()
-        mask = np.uint64(len(table) - 1)
+        bits, once = wanted.value, _Once()
+        n_bits = np.uint64(len(bits) * 8)
         for _, texts in _text_batches(batches, "text"):
-            _, ids, sizes, rows, runs = _classes(texts, width, min_words)
-            some = np.flatnonzero((sizes > 0) & (table[(ids.view(np.uint64) & mask).astype(np.int64)] > 0))
-            some = np.array([i for i in some if int(ids[i]) not in done and not done.add(int(ids[i]))], np.int64)
+            _, ids, checks, sizes, rows, runs = _classes(texts, width, min_words)
+            at = (ids.view(np.uint64) & np.uint64((1 << 63) - 1)) % n_bits
+            set_ = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+            some = np.flatnonzero(once(ids, checks, (sizes > 0) & (set_ > 0)))
             if len(some):
                 a, b = np.searchsorted(rows, some), np.searchsorted(rows, some, side="right")
                 values = np.concatenate([runs[x:y] for x, y in zip(a, b)]).view(np.int64)
                 offsets = np.concatenate(([0], np.cumsum(b - a))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["cls", "runs"])
-
-    return df.select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, "cls long, runs array<long>")
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(checks[some]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["cls", "check", "runs"])
+
+    return df.select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, "cls long, check long, runs array<long>")
+
+
+def _filter(likely: DataFrame) -> np.ndarray:
+    """The bits of the classes in the pairs (a, b): FILTER_BITS a class of room, MOST_FILTER_BITS (32 MB) at most."""
+    n = likely.count()
+    n_bits = 1 << 15
+    while n_bits < min(2 * n * FILTER_BITS, MOST_FILTER_BITS):
+        n_bits *= 2
+    at = F.expr(f"(cls & {(1 << 63) - 1}) % {n_bits}").alias("at")
+    ones = likely.select(F.explode(F.array("a", "b")).alias("cls")).select(at)
+    # Functions of bitmaps count from 1 in positions of 32,768 bits.
+    made = ones.groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"))
+    out = np.zeros(n_bits // 8, np.uint8)
+    for row in made.toLocalIterator():
+        out[(row.k - 1) * 4096 : row.k * 4096] = np.frombuffer(row.bits, np.uint8)
+    return out
 
 
 def similar_classes(
@@ -266,30 +310,20 @@ def similar_classes(
     """
     spark = df.sparkSession
     signed = cut(signatures(df, id_col, text_col, width, min_words, sketch_bits), "signatures")
-    members = signed.where("id is not null").groupBy("id").agg(F.max("cls").alias("cls"))
+    members = signed.where("id is not null").groupBy("id").agg(F.max(_whole()).alias("cls"))
     counts = spark.sparkContext.broadcast(_text.merged_counts(signed.where("block is not null").select("block", "payload"), sketch_bits))
     total = signed.agg(F.sum((F.col("size") * (1 - similarity)).cast("long") + least).alias("n")).first().n or 0
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_entries))
-    entries = _front(df, text_col, counts, n_blocks, width, min_words, similarity, least)
-    products = entries.groupBy("block").applyInArrow(_product(similarity, least, n_blocks), "block int, payload binary")
+    entries = _front(df, text_col, counts, n_blocks, width, min_words, similarity, least).repartition(n_blocks, "block")
+    products = entries.groupBy("block").applyInArrow(_product(similarity, least, n_blocks), "block int, payload binary").repartition(n_blocks, "block")
     likely = cut(products.groupBy("block").applyInArrow(_likely(least), "a long, b long"), "likely")
-
-    def mark(batches):
-        table = _text.CountTable(sketch_bits)
-        for batch in batches:
-            table.add(np.concatenate([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]).view(np.uint64))
-        for k, payload in table.blocks():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([payload], pa.binary())], ["block", "payload"])
-
-    wanted = spark.sparkContext.broadcast(_text.merged_counts(likely.mapInArrow(mark, "block int, payload binary"), sketch_bits))
-    sets = _sets(df, text_col, wanted, width, min_words).groupBy("cls").agg(F.first("runs").alias("runs"))
-    left = sets.select(F.col("cls").alias("a"), F.col("runs").alias("runs_a"))
-    right = sets.select(F.col("cls").alias("b"), F.col("runs").alias("runs_b"))
+    wanted = spark.sparkContext.broadcast(_filter(likely))
+    sets = _sets(df, text_col, wanted, width, min_words).repartition(n_blocks, "cls").groupBy("cls", "check").agg(F.first("runs").alias("runs"))
+    left = sets.select(F.col("cls").alias("a"), _whole().alias("cls_a"), F.col("runs").alias("runs_a"))
+    right = sets.select(F.col("cls").alias("b"), _whole().alias("cls_b"), F.col("runs").alias("runs_b"))
     both = likely.join(left, "a").join(right, "b").withColumn("n_shared", F.size(F.array_intersect("runs_a", "runs_b")))
-    pairs = both.select(
-        F.col("a").alias("cls_a"), F.col("b").alias("cls_b"), "n_shared", (F.size("runs_a") + F.size("runs_b") - F.col("n_shared")).alias("n_either")
-    ).where(F.col("n_shared") >= similarity * F.col("n_either") - 1e-9)
-    return members, pairs
+    pairs = both.select("cls_a", "cls_b", "n_shared", (F.size("runs_a") + F.size("runs_b") - F.col("n_shared")).alias("n_either"))
+    return members, pairs.where(F.col("n_shared") >= similarity * F.col("n_either") - 1e-9)
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
