@@ -72,7 +72,7 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     plans that use it several times don't compute it again.
     """
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
