@@ -137,6 +137,18 @@ def p5_report(spark, d):
     return overlaps.overlap_report(table(spark, d, "lf_examples"), source_col="source", **_P5)
 
 
+_P5_COVERAGE = """, c as (select test_id, list_sort(b.w) as train_words, max(c * 1.0 / n) as covered from f join u b on b.query_id = f.train_id group by 1, 2)
+select test_id as query_id, count(*) as n_train, round(max(covered), 6) as covered from c group by 1
+"""
+
+
+@R.query("p5_coverage", _P5_RECORDS + _P5_COVERAGE)
+def p5_coverage(spark, d):
+    """Of every overlapping query: the different train queries it overlaps, and how much of it one of them holds."""
+    found = overlaps.overlap_coverage(table(spark, d, "lf_examples"), **_P5)
+    return found.select(F.col("id").alias("query_id"), F.col("n_classes").alias("n_train"), F.round("covered", 6).alias("covered"))
+
+
 # Problem 6: packing whole documents, sized in tokens, into containers of each `pack_*` capacity.
 def _packings(spark, d):
     sizes = tokens.token_sizes(table(spark, d, "documents"), "doc_id", "text")

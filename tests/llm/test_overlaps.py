@@ -52,3 +52,42 @@ def test_a_hot_group_of_copies(spark):
 def test_nothing(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert O.overlap_pairs(df, *ARGS).count() == 0 and O.overlap_report(df, *ARGS, "source").count() == 0
+
+
+def test_needed_span_is_shared_by_all_similar_sets():
+    """For each pair of sizes, the worst way of cutting the shared words still leaves a span of that length."""
+    for similarity in (0.5, 0.67, 0.75, 0.8, 0.9, 0.95):
+        span = O.needed_span(similarity)
+        assert 1 <= span <= O.SPAN
+        for m in range(1, 60):
+            for n in range(m, int(m / similarity + 1e-9) + 1):
+                c = next(s for s in range(m + 1) if s >= similarity * (m + n - s) - 1e-9)
+                d = m + n - 2 * c
+                k = (span - 1) * (d + 1) + 1
+                assert d == 0 or (k <= c and m - c + k - span <= span * (1 - similarity) * m + 1e-9 and n - c + k - span <= span * (1 - similarity) * n + 1e-9)
+
+
+def test_the_pass_gives_the_spans_of_complete_runs():
+    import pyarrow as pa
+
+    depth = O.DEPTH
+    rows = []
+    for cls, words, trained in ((b"a", [5, 6, 7, 8], True), (b"b", [5, 6, 7, 9], False), (b"c", [5, 9, 9, 9], False), (b"d", [1, 2, 3, 4], True), (b"e", [8, 9, 1, 2], True)):
+        rows.append((1, words + [0] * (depth - 4), cls, 4, 0, None, trained, not trained))
+    rows.sort(key=lambda r: (r[0], r[1]))
+    types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["k", "s", "cls", "size", "place", "before", "trained", "tested"])
+    out = [r for b in O._spans(0.6, 2)(iter([batch.slice(0, 3), batch.slice(3)])) for r in b.to_pylist()]
+    assert [(r["train_cls"], r["test_cls"], r["length"]) for r in out if r["length"]] == [(b"a", b"b", 3)]
+    assert {r["cls"] for r in out if not r["length"]} == {b"d", b"e"}  # at the edges
+
+
+def test_a_very_long_record_and_a_hot_run(spark):
+    long = [f"w{k}" for k in range(100_000)]
+    rows = [("g", " ".join(long), "t", "train"), ("h", " ".join(long[50:] + ["x"]), "t", "test")]
+    rows += [(f"a{k:04d}", f"same start here {k % 700} end", "hot", "train") for k in range(900)] + [(f"b{k}", f"same start here {k} end too", "hot", "dev") for k in (3, 699)]
+    df = spark.createDataFrame([(*r, "s", None, "z") for r in rows], SCHEMA)
+    got = {tuple(r) for r in O.overlap_pairs(df, *ARGS, similarity=0.75).collect()}
+    assert got == {("g", "h")} | brute(rows[2:], 0.75)
+    covered = {r.id: (r.n_classes, r.covered) for r in O.overlap_coverage(df, *ARGS, similarity=0.75).collect()}
+    assert covered["h"] == (1, 99_950 / 99_951) and covered["b3"] == (1, 5 / 6)
