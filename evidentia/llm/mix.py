@@ -6,15 +6,15 @@ the weight of an inner node is the sum of its leaves. A leaf can give at most
 its size times the repeats its source allows. What a leaf can't give goes to
 its siblings first, in proportion to their weights, then to the siblings of its
 parent, and so on up to the root; each step is a pass over the leaves, whose
-number doesn't grow with the records. So that a share stays on target, leaves
-of other sources than the short one receive only what the source's own leaves
-elsewhere can't give: shortages are first settled within the source.
+number doesn't grow with the records. As a source's target is spread by the
+sizes of its leaves, a source that falls short does so in all of them.
 
 Each leaf is then read in seeded epochs, every epoch in an order of its own:
 whole epochs first, then a prefix of the next one up to the budget, the last
-record cut to the unit. The prefix is found without sorting a leaf: records are
-spread over hash buckets, bucket sizes are summed up per leaf, and only the
-bucket in which the budget ends is put in order.
+record cut to the unit. `at` is a record's place in its epoch: an epoch is read
+in the order of `at` (as an unsigned number), then id. The prefix is found without sorting a leaf: records are spread
+over hash buckets, bucket sizes are summed up per leaf, the bucket in which the
+budget ends is spread again, and only a bucket of that is put in order.
 
 Defined cases: sources are compared after trimming, lower-casing and writing
 `-` as `_`; records with a null id, source or size, or a size below one, or of a
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,13 +64,12 @@ def budgets(leaves: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
     wanted = {p: total * share[p[-1]] / weight * leaves[p] / held[p[-1]] if p[-1] in share else 0.0 for p in leaves}
     given = {p: min(wanted[p], room[p]) for p in leaves}
 
-    # A source's own leaves first, then ever larger subtrees around the leaf.
+    # Siblings first, then ever larger subtrees around the leaf.
     depth = max(map(len, leaves))
-    scopes = [lambda p: ("source", p[-1])] + [lambda p, k=k: ("tree", p[: len(p) - k]) for k in range(1, depth + 1)]
-    for scope in scopes:
+    for up in range(1, depth + 1):
         nodes = defaultdict(list)
         for p in leaves:
-            nodes[scope(p)].append(p)
+            nodes[p[: len(p) - up]].append(p)
         for inside in nodes.values():
             for _ in range(len(inside)):
                 lack = sum(wanted[p] for p in inside) - sum(given[p] for p in inside)
@@ -96,7 +96,7 @@ def _rounded(given: dict, room: dict) -> dict:
 
 
 def mix(sizes: DataFrame, targets: DataFrame, *, levels: tuple[str, ...] = ("domain", "lang", "source"), total: int | str | None = None, seed: int = 0) -> DataFrame:
-    """(id, the levels, epoch from 0, tokens, taken): what the mix takes of each record in each epoch.
+    """(id, the levels, epoch from 0, at, tokens, taken): what the mix takes of each record in each epoch.
 
     `sizes` has id, tokens and the levels, the last being the source; `targets`
     has source, target_share and max_repeats. A `total` of HELD is the tokens
@@ -117,19 +117,24 @@ def mix(sizes: DataFrame, targets: DataFrame, *, levels: tuple[str, ...] = ("dom
     fields = ", ".join([*(f"{c} string" for c in levels), "whole long", "rest long"])
     placed = usable.join(F.broadcast(spark.createDataFrame(plan, fields)), list(levels))
 
+    order = lambda epoch: F.xxhash64("id", F.lit(seed), epoch)
+    kept = ["id", *levels, "epoch", "at", "tokens"]
     whole = placed.where("whole > 0").select("id", *levels, F.explode(F.expr("sequence(0L, whole - 1)")).alias("epoch"), "tokens", F.col("tokens").alias("taken"))
-    order = F.xxhash64("id", F.lit(seed), "whole")
-    last = placed.where("rest > 0").select("id", *levels, F.col("whole").alias("epoch"), "tokens", "rest", order.alias("at"), F.pmod(F.shiftrightunsigned(order, 40), F.lit(BUCKETS)).alias("bucket"))
-    filled = last.groupBy(*levels, "bucket", "rest").agg(F.sum("tokens").alias("n"))
-    upto = Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = filled.select(*levels, "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"), "n", "rest").where("start < rest")
-    last = last.join(starts.select(*levels, "bucket", "start", "n"), [*levels, "bucket"])
-    inner = last.where("start + n <= rest").select("id", *levels, "epoch", "tokens", F.col("tokens").alias("taken"))
-    # One bucket of each leaf is cut.
-    within = Window.partitionBy(*levels).orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    edge = last.where("start + n > rest").withColumn("before", F.col("start") + F.coalesce(F.sum("tokens").over(within), F.lit(0))).where("before < rest")
-    edge = edge.select("id", *levels, "epoch", "tokens", F.least("tokens", F.col("rest") - F.col("before")).alias("taken"))
-    return whole.unionByName(inner).unionByName(edge)
+    parts = [whole.withColumn("at", order("epoch")).select(*kept, "taken")]
+    last = placed.where("rest > 0").select("id", *levels, F.col("whole").alias("epoch"), order("whole").alias("at"), "tokens", "rest")
+    for shift in (52, 40):  # of each leaf one bucket is cut, then one of 4,096 in it
+        last = last.withColumn("bucket", F.pmod(F.shiftrightunsigned("at", shift), F.lit(BUCKETS)))
+        filled = last.groupBy(*levels, "bucket", "rest").agg(F.sum("tokens").alias("n"))
+        upto = Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        starts = filled.select(*levels, "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"), "n", "rest").where("start < rest")
+        last = last.join(starts.select(*levels, "bucket", "start", "n"), [*levels, "bucket"])
+        parts.append(last.where("start + n <= rest").select(*kept, F.col("tokens").alias("taken")))
+        last = last.where("start + n > rest").withColumn("rest", F.col("rest") - F.col("start")).drop("bucket", "start", "n")
+    # Unsigned order of `at`, as the buckets are in.
+    within = Window.partitionBy(*levels).orderBy(F.shiftrightunsigned("at", 1), "at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    edge = last.withColumn("before", F.coalesce(F.sum("tokens").over(within), F.lit(0))).where("before < rest")
+    parts.append(edge.select(*kept, F.least("tokens", F.col("rest") - F.col("before")).alias("taken")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def mix_report(mixed: DataFrame, sizes: DataFrame, targets: DataFrame, source: str = "source", total: int | str | None = None) -> DataFrame:

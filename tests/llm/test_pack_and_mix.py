@@ -100,3 +100,27 @@ def test_the_registered_mix_is_as_large_as_its_sources(spark, folder):
 
     rows = R.queries["p7_report"](spark, folder).where("target_share > 0").collect()
     assert sum(r.taken for r in rows) == sum(r.held for r in rows) > 0 and all(r.taken <= r.held * r.max_repeats for r in rows)
+
+
+def test_the_last_epoch_is_a_prefix_of_its_order(spark):
+    rows = [(k, 1 + k % 7, "D", "en", "a" if k % 3 else "b") for k in range(3000)]
+    sizes = spark.createDataFrame(rows, "id long, tokens long, domain string, lang string, source string")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.7, 3)], "source string, target_share double, max_repeats int")
+    unsigned = lambda x: x % (1 << 64)
+    rest = {source: mix.mix(sizes, targets, total=9000).where(F.col("source") == source).collect() for source in ("a", "b")}
+    for source, got in rest.items():
+        last = max(r.epoch for r in got)
+        mine = sorted(((unsigned(r.at), r.id, r.taken, r.tokens) for r in got if r.epoch == last))
+        assert all(taken == tokens for _, _, taken, tokens in mine[:-1])
+        everybody = [r[0] for r in rows if r[4] == source]
+        order = spark.createDataFrame([(k, last) for k in everybody], "id long, epoch long").select("id", F.xxhash64("id", F.lit(0), "epoch").alias("at")).collect()
+        assert [k for _, k, _, _ in mine] == [k for _, k in sorted((unsigned(r.at), r.id) for r in order)][: len(mine)]
+
+
+def test_siblings_come_before_ancestors():
+    leaves = {("d", "en", "a"): 10, ("d", "en", "b"): 500, ("d", "fr", "c"): 500, ("e", "en", "c"): 500}
+    targets = {"a": (0.4, 1), "b": (0.3, 1), "c": (0.3, 1)}
+    assert mix.budgets(leaves, targets, total=100) == {("d", "en", "a"): 10, ("d", "en", "b"): 60, ("d", "fr", "c"): 15, ("e", "en", "c"): 15}
+    # Where the sibling can't take it all, the rest goes to the domain, then to all.
+    leaves |= {("d", "en", "b"): 40, ("d", "fr", "c"): 30}
+    assert mix.budgets(leaves, targets, total=100) == {("d", "en", "a"): 10, ("d", "en", "b"): 40, ("d", "fr", "c"): 22, ("e", "en", "c"): 28}
