@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from evidentia.functions import text as X
@@ -11,6 +16,8 @@ from evidentia.functions import vectors as V
 from evidentia.functions.binding import bind
 
 DIM = 16
+#: Token vectors that a task keeps.
+MOST_KNOWN = 1_000_000
 
 
 def token_vector(token: Column) -> Column:
@@ -19,25 +26,42 @@ def token_vector(token: Column) -> Column:
     return bind(raw, lambda r: bind(V.norm(r), lambda n: F.transform(r, lambda x: x / n)))
 
 
+def _token_vectors(tokens: list[str], known: dict[str, np.ndarray]) -> np.ndarray:
+    """`token_vector` for a list of tokens; `known` keeps what is made."""
+    if len(known) > MOST_KNOWN:
+        known.clear()
+    for token in tokens:
+        if token not in known:
+            raw = np.frombuffer(hashlib.md5(token.encode()).digest(), np.uint8) - 127.5
+            known[token] = raw / np.sqrt(raw @ raw)
+    return np.array([known[t] for t in tokens]).reshape(-1, DIM)
+
+
 def maxsim(hits: DataFrame, queries: DataFrame, texts: DataFrame, *, query_tokens: int | None = None, text_tokens: int | None = None) -> DataFrame:
     """hits (query_id, chunk_id, ...) with colbert_score: the sum over query tokens of the best inner product with a token of the text.
 
-    Each distinct token of the hits is made into a vector once, each pair of a
-    query's and a text's token is scored once; then the best and the sum are taken.
-    Without tokens on a side the score is minus infinity. Queries and texts are
-    read whole unless a number of first tokens is given.
+    Only the texts of hits are read; the tokens of a hit's query and text are
+    multiplied as matrices in Arrow batches. Without tokens on a side, and for a
+    hit without query or text, the score is minus infinity. Queries and texts are
+    read whole unless a number of first tokens is given; `queries` has a row a
+    query_id and `texts` one a chunk_id.
     """
     first = lambda tokens, most: tokens if most is None else F.slice(tokens, 1, most)
-    q = queries.select("query_id", F.posexplode(first(X.tokenize(F.col("query")), query_tokens)).alias("at", "qt"))
+    q = queries.select("query_id", first(X.tokenize(F.col("query")), query_tokens).alias("_q"))
     wanted = texts.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    t = wanted.select("chunk_id", F.explode(F.array_distinct(first(X.tokenize(F.col("text")), text_tokens))).alias("tt"))
-    met = hits.select("query_id", "chunk_id").join(q, "query_id").join(t, "chunk_id")
-    vectors = lambda df, c: df.select(c).distinct().withColumn(f"{c}_v", token_vector(F.col(c)))
-    pairs = met.select("qt", "tt").distinct().join(vectors(q, "qt"), "qt").join(vectors(t, "tt"), "tt")
-    pairs = pairs.select("qt", "tt", V.dot(F.col("qt_v"), F.col("tt_v")).alias("sim"))
-    best = met.join(pairs, ["qt", "tt"]).groupBy("query_id", "chunk_id", "at").agg(F.max("sim").alias("best"))
-    score = best.groupBy("query_id", "chunk_id").agg(F.round(F.sum("best"), 6).alias("colbert_score"))
-    return hits.join(score, ["query_id", "chunk_id"], "left").withColumn("colbert_score", F.coalesce("colbert_score", F.lit(float("-inf"))))
+    t = wanted.select("chunk_id", F.array_distinct(first(X.tokenize(F.col("text")), text_tokens)).alias("_t"))
+    kept = hits.columns
+
+    def score(batches):
+        known: dict[str, np.ndarray] = {}
+        for batch in batches:
+            scores = []
+            for asked, tokens in zip(batch.column("_q").to_pylist(), batch.column("_t").to_pylist()):
+                scores.append(float((_token_vectors(asked, known) @ _token_vectors(tokens, known).T).max(1).sum()) if asked and tokens else float("-inf"))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(np.round(scores, 6) + 0.0, pa.float64())], [*kept, "colbert_score"])
+
+    schema = StructType([*hits.schema.fields, StructField("colbert_score", DoubleType())])
+    return hits.join(q, "query_id", "left").join(t, "chunk_id", "left").select(*kept, "_q", "_t").mapInArrow(score, schema)
 
 
 def rerank_head(hits: DataFrame, depth: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidentia.functions import text as X
+from evidentia.session import cut
 
 
 def parse_log(rows: DataFrame) -> DataFrame:
@@ -28,9 +29,19 @@ ORDER = ("ts", "event", "stage", "latency_ms", "md", "n_chunks", "attrs_state")
 
 
 def sequenced(events: DataFrame) -> DataFrame:
-    """events with seq from 1 within the run, by time and then by all fields; events without a time come last."""
-    order = Window.partitionBy("run_id").orderBy(*[F.asc_nulls_last(c) for c in ORDER])
-    return events.withColumn("seq", F.row_number().over(order))
+    """events with seq from 1 within the run, by time and then by all fields; events without a time come last.
+
+    Runs are sorted over range partitions, so a run of any length is spread over
+    several: a number is the place in the partition and what earlier ones hold of
+    the run.
+    """
+    order = ["run_id", *[F.asc_nulls_last(c) for c in ORDER]]
+    placed = events.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(placed.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "sequenced")
+    parts = placed.groupBy("run_id", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("run_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select("run_id", "_part", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_start"))
+    return placed.join(starts, ["run_id", "_part"]).select(*events.columns, (F.col("_at") + F.col("_start")).cast("int").alias("seq"))
 
 
 def run_times(events: DataFrame) -> DataFrame:
@@ -50,22 +61,40 @@ def stage_times(events: DataFrame) -> DataFrame:
 
 def fold(events: DataFrame, stop: str = "answer.end") -> DataFrame:
     """(run_id, n_events, last_event, path): the events of a run up to and including the first `stop`, joined by `>`."""
-    first = F.min(F.when(F.col("event") == stop, F.col("seq"))).over(Window.partitionBy("run_id"))
-    kept = sequenced(events).withColumn("stop_at", first).where("stop_at is null or seq <= stop_at")
+    numbered = cut(sequenced(events), "numbered")
+    stops = numbered.where(F.col("event") == stop).groupBy("run_id").agg(F.min("seq").alias("stop_at"))
+    kept = numbered.join(stops, "run_id", "left").where("stop_at is null or seq <= stop_at")
     parts = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("event", F.lit("")).alias("event"))))
     return kept.groupBy("run_id").agg(F.count("*").alias("n_events"), F.max_by("event", "seq").alias("last_event"), F.array_join(F.transform(parts, lambda p: p["event"]), ">").alias("path"))
 
 
+def fold_text(events: DataFrame) -> DataFrame:
+    """(run_id, n_deltas, text, last_n_chunks): the texts of a run's events in order as one, and the last number of chunks that an event names."""
+    numbered = sequenced(events).where("md is not null or n_chunks is not null")
+    parts = F.array_sort(F.collect_list(F.when(F.col("md").isNotNull(), F.struct("seq", "md"))))
+    last = F.max_by("n_chunks", F.when(F.col("n_chunks").isNotNull(), F.col("seq")))
+    return numbered.groupBy("run_id").agg(F.count("md").alias("n_deltas"), F.array_join(F.transform(parts, lambda p: p["md"]), "").alias("text"), last.alias("last_n_chunks"))
+
+
+def followed(events: DataFrame) -> DataFrame:
+    """(run_id, event, next_event) for every event that another of its run follows."""
+    numbered = cut(sequenced(events).select("run_id", "seq", "event"), "numbered")
+    after = numbered.select("run_id", (F.col("seq") - 1).alias("seq"), F.col("event").alias("next_event"))
+    return numbered.join(after, ["run_id", "seq"]).select("run_id", "event", "next_event")
+
+
 def last_events(events: DataFrame, n: int = 12) -> DataFrame:
-    """The last n events of each run, numbered from the newest."""
-    newest = Window.partitionBy("run_id").orderBy(F.desc("seq"))
-    return sequenced(events).withColumn("age", F.row_number().over(newest)).where(F.col("age") <= n)
+    """The last n events of each run, with seq and numbered from the newest; only they leave their partitions."""
+    newest = Window.partitionBy("run_id").orderBy(*[F.desc_nulls_first(c) for c in ORDER])
+    sizes = events.groupBy("run_id").agg(F.count("*").alias("_n"))
+    last = events.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= n)
+    return last.join(sizes, "run_id").withColumn("seq", (F.col("_n") - F.col("age") + 1).cast("int")).drop("_n")
 
 
 def compact(events: DataFrame, kinds: tuple[str, ...], most: int = 40) -> DataFrame:
     """The first `most` events of the wanted kinds of each run."""
-    wanted = sequenced(events).where(F.col("event").isin(*kinds))
-    return wanted.withColumn("nth", F.row_number().over(Window.partitionBy("run_id").orderBy("seq"))).where(F.col("nth") <= most)
+    order = Window.partitionBy("run_id").orderBy(*[F.asc_nulls_last(c) for c in ORDER])
+    return events.where(F.col("event").isin(*kinds)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
 
 
 def sse_encode(kind: Column, payload: Column) -> Column:

@@ -6,20 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
+from evidentia.session import scratch_dir
+from evidentia.sources import files
 from evidentia.sources.tables import table
 
 #: The pattern of white space, for the SQL.
 SP = X.SPACE
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """One row per chunk_id of the corpus; what one row lacks another may have."""
-    rows = table(spark, d, "corpus_chunks").where("chunk_id is not null")
+def _once_per_chunk(rows: DataFrame) -> DataFrame:
     fields = {"doc_id": "doc_id", "text": "text", "section": "metadata.section", "title": "metadata.title", "source_path": "metadata.source_path"}
-    once = rows.groupBy("chunk_id").agg(*[F.min(path).alias(name) for name, path in fields.items()])
+    once = rows.where("chunk_id is not null").groupBy("chunk_id").agg(*[F.min(path).alias(name) for name, path in fields.items()])
     return once.withColumn("chunk_idx", X.chunk_index(F.col("chunk_id")))
 
 
+def _place(spark: SparkSession, d: str) -> str:
+    return f"{scratch_dir(spark)}/corpus-{files.stamp(spark, f'{d}/corpus_chunks.parquet')}"
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """One row per chunk_id of the corpus; what one row lacks another may have. Written once for each state of the table."""
+    return files.load_or_write(_once_per_chunk(table(spark, d, "corpus_chunks")), f"{_place(spark, d)}/chunks")
+
+
+def index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The lexical index of the corpus, built once for each state of the table."""
+    return files.load_or_build_index(chunks(spark, d), _place(spark, d), "index")
+
+
 CHUNKS = r"""ch as (
   select chunk_id, min(doc_id) as doc_id, min(text) as text, min(metadata.section) as section, min(metadata.title) as title,
          min(metadata.source_path) as source_path, try_cast(nullif(regexp_extract(chunk_id, '::c(\d+)$', 1), '') as integer) as chunk_idx

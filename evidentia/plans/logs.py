@@ -61,9 +61,14 @@ def trace_compact(spark, d):
 @R.query("trace_pairs", f"""with {_EV}, n as (select run_id, event, lead(event) over (partition by run_id order by seq) as next_event from sq) select event, next_event, count(*) as n from n where next_event is not null group by 1, 2""")
 def trace_pairs(spark, d):
     """How often one event follows another within a run."""
-    after = F.lead("event").over(search.Window.partitionBy("run_id").orderBy("seq"))
-    pairs = runs.sequenced(events(spark, d)).withColumn("next_event", after).where("next_event is not null")
-    return pairs.groupBy("event", "next_event").agg(F.count("*").alias("n"))
+    return runs.followed(events(spark, d)).where("next_event is not null").groupBy("event", "next_event").agg(F.count("*").alias("n"))
+
+
+@R.query("fold_deltas", f"""with {_EV} select run_id, count(md) as n_deltas, coalesce(string_agg(md, '' order by seq), '') as text, arg_max(n_chunks, seq) filter (n_chunks is not null) as last_n_chunks from sq
+    where md is not null or n_chunks is not null group by 1""")
+def fold_deltas(spark, d):
+    """The text that a run's events carry, put together in order."""
+    return runs.fold_text(events(spark, d))
 
 
 @R.query("sse_encode", f"""with {_EV} select run_id, seq, 'event: ' || coalesce(event, 'message') || chr(10) || 'data: ' || coalesce('{{"latency_ms":' || latency_ms || '}}', '{{}}') || chr(10) || chr(10) as message from sq""")

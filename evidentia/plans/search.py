@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from evidentia.functions import text as X
 from evidentia.functions import vectors as V
 from evidentia.operators import context, dense, fusion, lexical, rerank
-from evidentia.plans.base import CHUNKS, chunks, query_list, sql_strip, sql_tokens
+from evidentia.plans.base import CHUNKS, chunks, index, query_list, sql_strip, sql_tokens
 from evidentia.plans.registry import Registry
 from evidentia.session import cut
 from evidentia.sources.tables import table
@@ -57,7 +57,7 @@ bm as (select * from (select query_id, chunk_id, score, cast(row_number() over (
 
 @R.query("bm25_topk", f"with {_BM25} select * from bm")
 def bm25_topk(spark, d):
-    return lexical.bm25(chunks(spark, d), query_list(spark, d), K)
+    return lexical.bm25(index(spark, d), query_list(spark, d), K)
 
 
 # ---------------------------------------------------------------- vectors
@@ -87,21 +87,20 @@ def vector_quality(spark, d):
     return table(spark, d, "chunk_vectors").groupBy(state.alias("state"), "is_normalized", "dim").agg(F.count("*").alias("n"))
 
 
-# Chunks are searched by their first usable vector; a query's vector is the first usable one of its target document.
+# All usable vectors are searched, and a chunk stands where its best one does; a query's vector is the first usable one of its target document.
 _SEM = f"""{_USABLE},
-cv as (select chunk_id, min(vec_id) as first_id, arg_min(v, vec_id) as v from us where chunk_id is not null group by 1),
 qv as (select query_id, arg_min(v, vec_id) as q from query_list join us on doc_id = target_doc_id where query_id is not null and query is not null group by 1),
-ss as (select query_id, chunk_id, first_id, round(list_cosine_similarity(q, v), 6) as score from qv, cv),
-sm as (select * from (select query_id, chunk_id, score, cast(row_number() over (partition by query_id order by score desc, first_id) as integer) as rank from ss) where rank <= {K})"""
+sv as (select query_id, chunk_id, vec_id, round(list_cosine_similarity(q, v), 6) as score from qv, us where chunk_id is not null),
+ss as (select query_id, chunk_id, score, vec_id as best_id from (select *, row_number() over (partition by query_id, chunk_id order by score desc, vec_id) as nth from sv) where nth = 1),
+sm as (select * from (select query_id, chunk_id, score, cast(row_number() over (partition by query_id order by score desc, best_id) as integer) as rank from ss) where rank <= {K})"""
 
 
 def semantic_run(spark, d, k=K):
     vectors = usable_vectors(spark, d)
-    first = vectors.where("chunk_id is not null").groupBy("chunk_id").agg(F.min(F.struct("vec_id", "v")).alias("f"))
     asked = query_list(spark, d).join(vectors, F.col("doc_id") == F.col("target_doc_id")).groupBy("query_id").agg(F.min(F.struct("vec_id", "v")).alias("f"))
-    items = first.select(F.col("f.vec_id").alias("id"), F.col("f.v").alias("v"), "chunk_id")
-    near = dense.knn(items.select("id", "v"), asked.select(F.col("query_id").alias("id"), F.col("f.v").alias("v")), k, dim=64)
-    return near.join(items.select(F.col("id").alias("item"), "chunk_id"), "item").select(F.col("query").alias("query_id"), "chunk_id", "score", "rank")
+    items = vectors.where("chunk_id is not null").select(F.col("vec_id").alias("id"), "v", F.col("chunk_id").alias("label"))
+    near = dense.knn(items, asked.select(F.col("query_id").alias("id"), F.col("f.v").alias("v")), k, dim=64, bounded=True)
+    return near.select(F.col("query").alias("query_id"), F.col("label").alias("chunk_id"), "score", "rank")
 
 
 @R.query("knn_cosine", f"with {_SEM} select * from sm")
@@ -128,7 +127,7 @@ rf as (select *, cast(row_number() over (partition by query_id order by fused_sc
 
 def both_runs(spark, d):
     named = lambda df, run: df.select(F.lit(run).alias("run"), "query_id", "chunk_id", "score", "rank")
-    return named(bm25_topk(spark, d), "bm25").unionByName(named(semantic_run(spark, d), "semantic"))
+    return cut(named(bm25_topk(spark, d), "bm25").unionByName(named(semantic_run(spark, d), "semantic")), "runs")
 
 
 @R.query("rrf_fusion", f"with {_RUNS} select query_id, chunk_id, fused_score, best_rank, pos from rf")

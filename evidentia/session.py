@@ -30,7 +30,8 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 _scratch: dict[str, str] = {}
 
 
-def _hadoop_path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
@@ -50,7 +51,7 @@ def scratch_dir(spark: SparkSession) -> str:
             named = "file://" + tempfile.mkdtemp(prefix="evidentia-")
             spark.conf.set("spark.checkpoint.dir", named)
         made = f"{named.rstrip('/')}/evidentia-{context.applicationId}"
-        files, path = _hadoop_path(spark, made)
+        files, path = hadoop_path(spark, made)
         files.mkdirs(path)
         files.deleteOnExit(path)
         _scratch[context.applicationId] = made
@@ -61,7 +62,7 @@ def clear_scratch(spark: SparkSession) -> None:
     """Remove the tables that this application has written so far; DataFrames that read them can't be used any more."""
     made = _scratch.pop(spark.sparkContext.applicationId, None)
     if made:
-        files, path = _hadoop_path(spark, made)
+        files, path = hadoop_path(spark, made)
         files.delete(path, True)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
 from evidentia.operators import lexical
+from evidentia.session import hadoop_path
 
 CHUNK_SCHEMA = (
     "doc_id string, chunk_id string, text string, metadata struct<title: string, section: string, source_path: string, line_start: int, line_end: int, char_start: int, char_end: int>"
@@ -68,17 +69,38 @@ def _written(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def load_or_build_index(chunks: DataFrame, folder: str) -> dict[str, DataFrame]:
-    """The lexical index (postings, terms, lengths) of these chunks, built only where it isn't there yet.
+def stamp(spark: SparkSession, path: str) -> str:
+    """A short text that changes when a file of a table is added, removed or rewritten; no row is read."""
+    files, at = hadoop_path(spark, path)
+    found, names = files.listFiles(at, True), []
+    while found.hasNext():
+        one = found.next()
+        names.append(f"{one.getPath()}:{one.getLen()}:{one.getModificationTime()}")
+    return hashlib.sha256("\n".join([path, *sorted(names)]).encode()).hexdigest()[:16]
 
-    The folder's name holds a fingerprint of the chunks, so an index never
-    outlives its corpus. Postings are sorted by term within files, so that a
-    few terms read few row groups.
+
+def load_or_write(df: DataFrame, at: str, *partitions: str) -> DataFrame:
+    """The table at a place, written only where it isn't there yet."""
+    spark = df.sparkSession
+    if not _written(spark, at):
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partitions).parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def load_or_build_index(chunks: DataFrame, folder: str, name: str | None = None) -> dict[str, DataFrame]:
+    """The lexical index (postings, terms, lengths, stats) of these chunks, built only where it isn't there yet.
+
+    The folder's name holds a fingerprint of the chunks (or the given `name`, which
+    must change with them), so an index never outlives its corpus. Postings lie in
+    a folder for each of BUCKETS hashes of their terms and are sorted by term
+    within files: a few terms read few folders and row groups.
     """
-    spark = chunks.sparkSession
-    at = f"{folder}/{fingerprint(chunks.select('chunk_id', 'text'))}"
-    if not _written(spark, f"{at}/lengths"):
-        lexical.term_frequency(chunks).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{at}/postings")
-        lexical.idf(chunks).write.mode("overwrite").parquet(f"{at}/terms")
-        lexical.tokenized(chunks).select("chunk_id", F.size("tokens").alias("dl")).write.mode("overwrite").parquet(f"{at}/lengths")
-    return {name: spark.read.parquet(f"{at}/{name}") for name in ("postings", "terms", "lengths")}
+    at = f"{folder}/{name or fingerprint(chunks.select('chunk_id', 'text'))}"
+    tokens = load_or_write(lexical.tokenized(chunks), f"{at}/tokens")
+    lengths = load_or_write(tokens.select("chunk_id", F.size("tokens").alias("dl")), f"{at}/lengths")
+    words = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    postings = words.select("term", "chunk_id", "tf", "dl", lexical.bucket(F.col("term")).alias("bucket")).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term", "chunk_id")
+    index = {"lengths": lengths, "postings": load_or_write(postings, f"{at}/postings", "bucket")}
+    index["stats"] = load_or_write(lexical.corpus_stats(tokens), f"{at}/stats")
+    index["terms"] = load_or_write(lexical.idf(tokens, index["stats"], index["postings"].groupBy("term").agg(F.count("*").alias("df"))), f"{at}/terms")
+    return index

@@ -100,8 +100,15 @@ def test_bm25(spark):
     chunks = spark.createDataFrame([("1", "a b"), ("2", "a c"), ("3", "a d d")], "chunk_id string, text string")
     idf = {r.term: round(r.idf, 6) for r in lexical.idf(chunks).collect()}
     assert idf == {"a": -0.02584, "b": 0.510826, "c": 0.510826, "d": 0.510826}
-    got = lexical.bm25(chunks, spark.createDataFrame([("q", "a d")], "query_id string, query string"), 5).orderBy("rank").collect()
+    from evidentia.session import scratch_dir
+    from evidentia.sources import files
+
+    index = files.load_or_build_index(chunks, scratch_dir(spark))
+    queries = spark.createDataFrame([("q", "a d"), ("none", "zz")], "query_id string, query string")
+    got = lexical.bm25(index, queries, 5).orderBy("rank").collect()
     assert [(r.chunk_id, round(r.score, 6)) for r in got] == [("3", 0.645474), ("1", -0.027615), ("2", -0.027615)]
+    filled = lexical.bm25(index, queries, 2, fill=True).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.chunk_id, r.rank) for r in filled] == [("none", "1", 1), ("none", "2", 2), ("q", "3", 1), ("q", "1", 2)]
 
 
 def test_knn(spark, monkeypatch):
@@ -116,6 +123,30 @@ def test_knn(spark, monkeypatch):
     assert [(r.item, r.score) for r in near] == [(1, 0.0), (3, 1.0)]
 
 
+def test_knn_in_blocks_and_by_label_equals_a_loop(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, [round(rng.uniform(-1, 1), 1) for _ in range(3)], f"c{k % 17}" if k % 11 else None) for k in range(120)]
+    items = spark.createDataFrame(rows, "id long, v array<double>, label string")
+    for bounded in (True, False):
+        for label in (True, False):
+            near = dense.knn(items if label else items.drop("label"), items.select("id", "v").where("id % 10 = 3"), 4, dim=3, bounded=bounded)
+            for q, v, _ in rows:
+                if q % 10 != 3:
+                    continue
+                cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b), 6)
+                order = sorted((-cosine(v, w), k, c) for k, w, c in rows if math.hypot(*w) and (c or not label))
+                want, seen = [], set()
+                for s, k, c in order:
+                    if not label or c not in seen:
+                        want.append(k)
+                        seen.add(c)
+                if math.hypot(*v):
+                    assert [r.item for r in near.where(F.col("query") == q).orderBy("rank").collect()] == want[:4]
+    monkeypatch.setattr(dense, "MOST_BROADCAST", 5)
+    with pytest.raises(ValueError):
+        dense.knn(items, items, 2, dim=3, bounded=True)
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
     got = df.select(V.dot(F.col("a"), F.col("b")), V.norm(F.col("a")), V.squared_l2(F.col("a"), F.col("b")), V.l2_normalize(F.col("a"))).collect()
