@@ -21,6 +21,14 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _usable(x: np.ndarray, *columns):
+    """The rows whose values are all finite and not all zero."""
+    good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+    if good.all():
+        return x, *columns
+    return x[good], *[c[good] if isinstance(c, np.ndarray) else c.filter(pa.array(good)) for c in columns]
+
+
 def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     """(query, item) numbers of which the least are the nearest: minus the cosine, or the squared distance."""
     if metric == "cosine":
@@ -72,7 +80,8 @@ def knn(items: DataFrame, queries: DataFrame, k: int, *, dim: int, metric: str =
     sign = -1.0 if metric == "cosine" else 1.0
     labelled = "label" in items.columns
     label = F.col("label") if labelled else F.lit(None).cast("string").alias("label")
-    items = items.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), label).where(F.col("id").isNotNull() & V.usable(F.col("v"), dim))
+    # What the values are is seen in the blocks.
+    items = items.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), label).where(F.col("id").isNotNull() & (F.size("v") == dim))
     if labelled:
         items = items.where("label is not null")
     queries = queries.select("id", F.col("v").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & V.usable(F.col("v"), dim))
@@ -80,6 +89,9 @@ def knn(items: DataFrame, queries: DataFrame, k: int, *, dim: int, metric: str =
     schema = f"query {kind}, item long, label string, score double"
 
     def met(names, q, ids, labels, x) -> list[pa.Array]:
+        (q, names), (x, ids, labels) = _usable(q, names), _usable(x, ids, labels)
+        if not len(q) or not len(x):
+            return [names.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.float64())]
         score = _distances(q, x, metric)
         if not_self:
             score[names.to_numpy(zero_copy_only=False)[:, None] == ids[None, :]] = np.inf

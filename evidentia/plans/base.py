@@ -20,18 +20,19 @@ def _once_per_chunk(rows: DataFrame) -> DataFrame:
     return once.withColumn("chunk_idx", X.chunk_index(F.col("chunk_id")))
 
 
-def _place(spark: SparkSession, d: str) -> str:
-    return f"{scratch_dir(spark)}/corpus-{files.stamp(spark, f'{d}/corpus_chunks.parquet')}"
+def place(spark: SparkSession, d: str, name: str, label: str) -> str:
+    """Where something made of a table is kept, for this state of the table."""
+    return f"{scratch_dir(spark)}/{name}-{files.stamp(spark, f'{d}/{name}.parquet')}/{label}"
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """One row per chunk_id of the corpus; what one row lacks another may have. Written once for each state of the table."""
-    return files.load_or_write(_once_per_chunk(table(spark, d, "corpus_chunks")), f"{_place(spark, d)}/chunks")
+    return files.load_or_write(_once_per_chunk(table(spark, d, "corpus_chunks")), place(spark, d, "corpus_chunks", "chunks"))
 
 
 def index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The lexical index of the corpus, built once for each state of the table."""
-    return files.load_or_build_index(chunks(spark, d), _place(spark, d), "index")
+    return files.load_or_build_index(chunks(spark, d), place(spark, d, "corpus_chunks", "lexical"), "index")
 
 
 CHUNKS = r"""ch as (

@@ -105,8 +105,9 @@ ct as (select query_id, list_sort(list_distinct(list_transform(regexp_extract_al
 def _cited(spark, d):
     """Answers that cite their first hits by position, against the blocks of their contexts."""
     cited = F.array_sort(F.collect_list(F.struct("pos")))
-    answers = search._hits(spark, d).where("pos <= 6").groupBy("query_id").agg(F.array_join(F.transform(cited, lambda p: F.concat(F.lit("["), p["pos"].cast("string"), F.lit("]"))), " ").alias("answer"))
-    both = answers.join(search.build_context(spark, d), "query_id")
+    hits = search._hits(spark, d)
+    answers = hits.where("pos <= 6").groupBy("query_id").agg(F.array_join(F.transform(cited, lambda p: F.concat(F.lit("["), p["pos"].cast("string"), F.lit("]"))), " ").alias("answer"))
+    both = answers.join(search.contexts(spark, d, hits), "query_id")
     return both.select("query_id", X.numbers(F.col("answer"), X.CITATION).alias("used"), X.numbers(F.col("context"), X.BLOCK).alias("available"))
 
 

@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 from evidentia.functions import text as X
 from evidentia.functions import vectors as V
 from evidentia.operators import context, dense, fusion, lexical, rerank
-from evidentia.plans.base import CHUNKS, chunks, index, query_list, sql_strip, sql_tokens
+from evidentia.plans.base import CHUNKS, chunks, index, place, query_list, sql_strip, sql_tokens
 from evidentia.plans.registry import Registry
 from evidentia.session import cut
+from evidentia.sources import files
 from evidentia.sources.tables import table
 
 R = Registry()
@@ -67,8 +68,9 @@ _USABLE = """us as (select vec_id, chunk_id, doc_id, cast(embedding as double[])
 
 
 def usable_vectors(spark, d):
+    """The vectors that can be searched; written once for each state of the table."""
     rows = table(spark, d, "chunk_vectors").where(F.col("vec_id").isNotNull() & V.usable(F.col("embedding"), 64))
-    return rows.select("vec_id", "chunk_id", "doc_id", F.col("embedding").alias("v"))
+    return files.load_or_write(rows.select("vec_id", "chunk_id", "doc_id", F.col("embedding").alias("v")), place(spark, d, "chunk_vectors", "usable"))
 
 
 @R.query("l2_normalize", f"with {_USABLE}, n as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from us) select vec_id, round(n, 6) as norm, round(v[1] / (n + 1e-12), 6) + 0.0 as first, round(list_sum(list_transform(v, lambda x: (x / (n + 1e-12)) * (x / (n + 1e-12)))), 6) as square from n")
@@ -127,7 +129,7 @@ rf as (select *, cast(row_number() over (partition by query_id order by fused_sc
 
 def both_runs(spark, d):
     named = lambda df, run: df.select(F.lit(run).alias("run"), "query_id", "chunk_id", "score", "rank")
-    return cut(named(bm25_topk(spark, d), "bm25").unionByName(named(semantic_run(spark, d), "semantic")), "runs")
+    return named(bm25_topk(spark, d), "bm25").unionByName(named(semantic_run(spark, d), "semantic"))
 
 
 @R.query("rrf_fusion", f"with {_RUNS} select query_id, chunk_id, fused_score, best_rank, pos from rf")
@@ -146,7 +148,7 @@ def rrf_weighted(spark, d):
 
 @R.query("both_runs", f"with {_RUNS} select query_id, chunk_id from bm intersect select query_id, chunk_id from sm")
 def runs_agree(spark, d):
-    runs = both_runs(spark, d)
+    runs = cut(both_runs(spark, d), "runs")
     of = lambda run: runs.where(F.col("run") == run).select("query_id", "chunk_id")
     return of("bm25").intersect(of("semantic"))
 
@@ -363,6 +365,7 @@ def _hits(spark, d):
 
 
 def _seeds(spark, d):
+    """Hits with their places in their documents."""
     return _hits(spark, d).join(chunks(spark, d).select("chunk_id", "doc_id", "chunk_idx", "section"), "chunk_id")
 
 
@@ -406,18 +409,24 @@ fit as (select query_id, pos, block, total from bd where total <= 12000),
 cx as (select query_id, count(*) as n_blocks, string_agg(block, chr(10) || chr(10) order by pos) as context from fit group by 1)"""
 
 
-def _fitting(spark, d):
-    return context.within_budget(context.blocks(expand_hits(spark, d), chunks(spark, d)))
+def _fitting(spark, d, hits):
+    expanded = context.expand(hits, chunks(spark, d))
+    return context.within_budget(context.blocks(expanded, chunks(spark, d)))
 
 
 @R.query("context_budget", f"with {_BLOCKS} select query_id, pos, length(block) as n_chars, cast(total as bigint) as total from fit")
 def context_budget(spark, d):
-    return _fitting(spark, d).select("query_id", "pos", F.length("block").cast("long").alias("n_chars"), "total")
+    return _fitting(spark, d, _hits(spark, d)).select("query_id", "pos", F.length("block").cast("long").alias("n_chars"), "total")
 
 
 @R.query("build_context", f"with {_BLOCKS} select query_id, n_blocks, context from cx")
 def build_context(spark, d):
-    return context.assemble(_fitting(spark, d))
+    return contexts(spark, d, _hits(spark, d))
+
+
+def contexts(spark, d, hits):
+    """The context that hits expand to."""
+    return context.assemble(_fitting(spark, d, hits))
 
 
 @R.query("answer_prompt", f"with {_BLOCKS} select query_id, 'Answer the question from the context and cite its blocks as [n]. Say so if the context has no answer.' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || {sql_strip('query')} || chr(10) || 'Answer:' as prompt from ql left join cx using (query_id)")
@@ -430,8 +439,9 @@ def answer_prompt(spark, d):
     select query_id, coalesce(num_hits, 0) as num_hits, coalesce(n_blocks, 0) as n_blocks, coalesce(length(context), 0) as context_chars from ql left join h using (query_id) left join cx using (query_id)""")
 def turn_trace(spark, d):
     """What a turn would log about each query's retrieval."""
-    hits = _hits(spark, d).groupBy("query_id").agg(F.count("*").alias("num_hits"))
-    made = build_context(spark, d).select("query_id", "n_blocks", F.length("context").cast("long").alias("context_chars"))
+    found = _hits(spark, d)
+    hits = found.groupBy("query_id").agg(F.count("*").alias("num_hits"))
+    made = contexts(spark, d, found).select("query_id", "n_blocks", F.length("context").cast("long").alias("context_chars"))
     joined = query_list(spark, d).select("query_id").join(hits, "query_id", "left").join(made, "query_id", "left")
     return joined.na.fill(0, ["num_hits", "n_blocks", "context_chars"])
 

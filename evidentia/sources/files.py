@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +18,9 @@ EXAMPLE_SCHEMA = (
     "query_id string, query string, target_doc_id string, chunk_id string, doc_id string, label int, features struct<bm25_score: double, bm25_rank: double, bm25_present: double, bm25_rrf: double, "
     "semantic_score: double, semantic_rank: double, semantic_present: double, semantic_rrf: double, best_rank: double, best_rrf: double>, meta struct<title: string, source_path: string, text_preview: string>"
 )
+INDEX_SCHEMAS = {
+    "postings": "term string, chunk_id string, tf long, dl int, bucket int", "terms": "term string, df long, idf double", "lengths": "chunk_id string, dl int", "stats": "n_chunks long, n_tokens long, avgdl double",
+}
 LOG_SCHEMA = "ts string, run_id string, event string, stage string, attrs string"
 
 
@@ -63,10 +65,8 @@ def fingerprint(df: DataFrame) -> str:
 
 
 def _written(spark: SparkSession, path: str) -> bool:
-    try:
-        return bool(spark.read.parquet(path).columns)
-    except AnalysisException:
-        return False
+    files, at = hadoop_path(spark, f"{path}/_SUCCESS")
+    return files.exists(at)
 
 
 def stamp(spark: SparkSession, path: str) -> str:
@@ -95,7 +95,10 @@ def load_or_build_index(chunks: DataFrame, folder: str, name: str | None = None)
     a folder for each of BUCKETS hashes of their terms and are sorted by term
     within files: a few terms read few folders and row groups.
     """
+    spark = chunks.sparkSession
     at = f"{folder}/{name or fingerprint(chunks.select('chunk_id', 'text'))}"
+    if _written(spark, f"{at}/terms"):  # the last to be written
+        return {part: spark.read.schema(schema).parquet(f"{at}/{part}") for part, schema in INDEX_SCHEMAS.items()}
     tokens = load_or_write(lexical.tokenized(chunks), f"{at}/tokens")
     lengths = load_or_write(tokens.select("chunk_id", F.size("tokens").alias("dl")), f"{at}/lengths")
     words = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
