@@ -10,9 +10,15 @@ and finally by the exact cosine in double.
 
 With a least cosine, the cut is proven: an inner product differs from its score
 by at most the stored miss, so nothing at or above the least cosine in a
-scanned list is lost. Without one, the best `depth` scores of each list go on.
-`probes` is the number of lists scanned for a query, nearest first; null scans
-all of them, for a stated set of queries.
+scanned list is lost; what lies in lists that aren't scanned is. Without one, a
+query's best `depth` scores in a block of lists go on. `probes` is the number of
+lists scanned for a query, nearest first. For a stated set of queries `exact`
+scans all lists with the least cosine of what the nearest lists gave.
+
+The number of lists grows with the square root of the vectors up to MOST_LISTS,
+as the centres are fitted on the driver from a bounded sample; beyond some 67
+million vectors lists grow instead, and a query scores `probes` of MOST_LISTS of
+all vectors.
 
 Vectors of equal direction form one class, represented by its smallest id. A
 class of any size is one entry of the index; of its members only the first
@@ -22,13 +28,14 @@ blocks, so no task holds a whole list.
 
 Defined cases: vectors that are null, of another dimension, with a value that
 is null or not finite, or all zero take part in nothing; null ids neither; a
-repeated id counts once, with its smallest vector. Cosines are rounded to 6
+repeated id counts once, with one of its vectors, the same in every run. Cosines are rounded to 6
 decimals; equal ones are ordered by id. An empty table gives no rows. The index
 is fitted on at most `SAMPLE_PER_LIST` vectors a list; every vector is indexed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -42,7 +49,7 @@ from evidentia.session import cut
 
 #: The bound of the sample that the centres and codebooks are fitted on.
 SAMPLE_PER_LIST, LEAST_SAMPLE, MOST_LISTS = 24, 8192, 1 << 14
-BLOCK = 8192
+BLOCK, LISTS_A_GROUP = 8192, 32
 #: Reranking uses vectors of 16-bit floats; an inner product of theirs is off by less than this.
 HALF_MARGIN = 2e-3
 
@@ -55,6 +62,8 @@ class Quantiser:
         self.beam = beam
         sample = sample.astype(np.float32)
         self.centres = self._fit(sample, n_lists, rng, 8)
+        # Lists whose centres are near each other form a group: most of a query's lists are in a few groups.
+        self.group = self._closest(self.centres, self._fit(self.centres, max(1, len(self.centres) // LISTS_A_GROUP), rng, 8)).astype(np.int32)
         left = sample - self.centres[self.nearest(sample, 1)[:, 0]]
         self.books = []
         for _ in range(books):
@@ -128,6 +137,11 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _directions(unit: np.ndarray) -> pa.Array:
+    """128 bits of each unit vector's rounded values: equal for vectors of equal direction."""
+    return pa.array([hashlib.md5(r.tobytes()).digest() for r in np.round(unit, 10) + 0.0], pa.binary())
+
+
 def fit(usable: DataFrame, dim: int, n_lists: int | None, books: int, entries: int, beam: int, seed: int) -> Quantiser | None:
     n = usable.count()
     if not n:
@@ -146,101 +160,183 @@ class Index:
     """Classes of equal direction with their codes, and the members of each class."""
 
     def __init__(self, df: DataFrame, id_col: str, vec_col: str, *, dim: int, k: int = 10, n_lists: int | None = None, probes: int = 8, books: int = 8, entries: int = 256, beam: int = 3, seed: int = 0):
-        self.spark, self.dim, self.k = df.sparkSession, dim, k
-        usable = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & V.usable(F.col("v"), dim))
-        once = usable.groupBy("id").agg(F.min("v").alias("v"))
-        quantiser = fit(usable, dim, n_lists, books, entries, beam, seed)
+        self.spark, self.dim, self.k, self.probes = df.sparkSession, dim, k, probes
+        self.usable = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & V.usable(F.col("v"), dim))
+        quantiser = fit(self.usable, dim, n_lists, books, entries, beam, seed)
         self.quantiser = self.spark.sparkContext.broadcast(quantiser)
         shared = self.quantiser
 
-        def run(batches):
+        def encode(batches):
             q = shared.value
             for batch in batches:
                 for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
-                    unit = _units(_matrix(part.column("v"), dim))
+                    unit = _units(_matrix(batch.column("v").slice(at, 2048), dim))
                     x = unit.astype(np.float32)
                     lists, codes, size, miss = q.encode(x)
-                    near = q.nearest(x, probes)
-                    half, keys = x.astype(np.float16), np.round(unit, 10) + 0.0
-                    offsets = np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)
                     columns = [
-                        part.column("id"), part.column("v"), pa.array([r.tobytes() for r in keys], pa.binary()), pa.array(lists), pa.ListArray.from_arrays(pa.array(offsets), pa.array(near.ravel())),
-                        pa.array([r.tobytes() for r in codes], pa.binary()), pa.array([r.tobytes() for r in half], pa.binary()), pa.array(size.astype(np.float32)), pa.array(miss.astype(np.float32)),
+                        _directions(unit), pa.array(lists), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()),
+                        pa.array(size.astype(np.float32)), pa.array(miss.astype(np.float32)),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "v", "direction", "list", "near", "codes", "half", "norm", "miss"])
-
-        coded = once.mapInArrow(run, "id long, v array<float>, direction binary, list int, near array<int>, codes binary, half binary, norm float, miss float")
-        coded = coded.withColumn("direction", F.md5("direction"))
-        coded = cut(coded, "coded")
-        fields = ["id", "v", "list", "near", "codes", "half", "norm", "miss"]
-        first = coded.groupBy("direction").agg(F.min(F.struct(*fields)).alias("c"))
-        self.classes = cut(first.select("direction", F.col("c.id").alias("cls"), *[f"c.{f}" for f in fields[1:]]), "classes")
-        self.members = cut(coded.select("id", "direction").join(self.classes.select("direction", "cls"), "direction").select("id", "cls"), "members")
+                    yield pa.RecordBatch.from_arrays(columns, ["direction", "list", "codes", "half", "norm", "miss"])
+
+        # An id that comes with several vectors keeps the one of the smallest direction.
+        once = cut(self._directed(self.usable).groupBy("id").agg(F.min("direction").alias("direction")), "directions")
+        self.reps = cut(once.groupBy("direction").agg(F.min("id").alias("cls")), "reps")
+        self.members = cut(once.join(self.reps, "direction").select("id", "cls"), "members")
+        coded = self.usable.select("v").mapInArrow(encode, "direction binary, list int, codes binary, half binary, norm float, miss float")
+        first = coded.groupBy("direction").agg(F.first(F.struct("list", "codes", "half", "norm", "miss")).alias("c"))
+        self.classes = cut(first.join(self.reps, "direction").select("cls", "c.*"), "classes")
         nth = F.row_number().over(Window.partitionBy("cls").orderBy("id"))
         self.heads = self.members.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("cls", "id")
 
-    def near_classes(self, queries: DataFrame | None = None, *, least: float | None = None, depth: int = 64, all_lists: bool = False) -> DataFrame:
-        """(cls, other, cosine in double) of different classes; `queries` names the classes to search for."""
-        searched = self.classes if queries is None else self.classes.join(queries.select("cls").distinct(), "cls", "left_semi")
-        searched = searched.select(F.col("cls").alias("query"), F.col("half").alias("qhalf"), "near")
-        n_lists = 0 if self.quantiser.value is None else len(self.quantiser.value.centres)
-        if all_lists:
-            searched = searched.withColumn("near", F.sequence(F.lit(0), F.lit(max(0, n_lists - 1))))
-        searched = searched.select("query", "qhalf", F.explode("near").alias("list"))
-        items = self.classes.select("list", "cls", "codes", "half", "norm", "miss")
-        # One row a list: as many as the quantiser, which is broadcast as well, has centres.
-        parts = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-        blocks = F.broadcast(cut(parts(items, "n").join(parts(searched, "m"), "list"), "blocks"))
-        items = items.join(blocks, "list").select("list", F.pmod(F.xxhash64("cls"), "n").alias("a"), F.explode(F.expr("sequence(0L, m - 1L)")).alias("b"), "cls", "codes", "half", "norm", "miss")
-        searched = searched.join(blocks, "list").select("list", F.explode(F.expr("sequence(0L, n - 1L)")).alias("a"), F.pmod(F.xxhash64("query"), "m").alias("b"), "query", "qhalf")
+    def _directed(self, vectors: DataFrame) -> DataFrame:
+        """vectors (id, v) with their direction."""
+        dim = self.dim
+
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 8192):
+                    part = batch.slice(at, 8192)
+                    yield pa.RecordBatch.from_arrays([*part.columns, _directions(_units(_matrix(part.column("v"), dim)))], [*part.schema.names, "direction"])
+
+        return vectors.mapInArrow(run, "id long, v array<float>, direction binary")
+
+    def _searched(self, queries: DataFrame, all_lists: bool) -> DataFrame:
+        """(query, qhalf, floor, group, lists): a row for each group of lists that has one of the query's."""
+        shared, dim, probes = self.quantiser, self.dim, self.probes
+
+        def run(batches):
+            q = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                if all_lists:
+                    near = np.tile(np.arange(len(q.centres), dtype=np.int32), (batch.num_rows, 1))
+                else:
+                    near = q.nearest(_binary(batch.column("half"), np.float16, dim).astype(np.float32), probes)
+                row, lists = np.repeat(np.arange(len(near)), near.shape[1]), near.ravel()
+                group = q.group[lists]
+                order = np.lexsort((lists, group, row))
+                row, lists, group = row[order], lists[order], group[order]
+                new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (group[1:] != group[:-1]))))
+                ends = pa.array(np.append(new, len(row)).astype(np.int32))
+                at = pa.array(row[new])
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("cls", "half", "floor")] + [pa.array(group[new].astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(lists))], ["query", "qhalf", "floor", "group", "lists"])
+
+        return queries.mapInArrow(run, "query long, qhalf binary, floor float, group int, lists array<int>")
+
+    def near_classes(self, queries: DataFrame | None = None, *, least: float | None = None, depth: int = 128, all_lists: bool = False) -> DataFrame:
+        """(cls, other, cosine in double) of different classes; `queries` names the classes to search for (cls), and may give a least cosine of each (floor)."""
+        own_floor = queries is not None and "floor" in queries.columns
+        floor = F.lit(least if least is not None else 0.0).cast("float").alias("floor")
+        if queries is None:
+            searched = self.classes.select("cls", "half", floor)
+        elif own_floor:
+            searched = self.classes.select("cls", "half").join(queries.groupBy("cls").agg(F.min("floor").cast("float").alias("floor")), "cls")
+        else:
+            searched = self.classes.join(queries.select("cls").distinct(), "cls", "left_semi").select("cls", "half", floor)
+        bounded = least is not None or own_floor
+        searched = self._searched(searched.select("cls", "half", "floor"), all_lists)
+        groups = [] if self.quantiser.value is None else self.quantiser.value.group.tolist()
+        # One row a group of lists: fewer than the quantiser, which is broadcast as well, has centres.
+        named = self.spark.createDataFrame(list(enumerate(groups)), "list int, group int")
+        items = self.classes.select("list", "cls", "codes", "half", "norm", "miss").join(F.broadcast(named), "list")
+        parts = lambda df, name: df.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+        blocks = F.broadcast(cut(parts(items, "n").join(parts(searched, "m"), "group"), "blocks"))
+        items = items.join(blocks, "group").select("group", F.pmod(F.xxhash64("cls"), "n").alias("a"), F.explode(F.expr("sequence(0L, m - 1L)")).alias("b"), "list", "cls", "codes", "half", "norm", "miss")
+        searched = searched.join(blocks, "group").select("group", F.explode(F.expr("sequence(0L, n - 1L)")).alias("a"), F.pmod(F.xxhash64("query"), "m").alias("b"), "query", "qhalf", "floor", "lists")
         shared, dim, k = self.quantiser, self.dim, self.k
         keep = k + 4
 
         def score(key, left, right):
             q = shared.value
+            order = np.argsort(left.column("list").to_numpy(), kind="stable")
+            left = left.take(pa.array(order))
+            lists, cls, size, miss = (left.column(c).to_numpy() for c in ("list", "cls", "norm", "miss"))
             codes, half = _binary(left.column("codes"), np.uint8, len(q.books)), _binary(left.column("half"), np.float16, dim).astype(np.float32)
-            cls, size, miss = (left.column(c).to_numpy() for c in ("cls", "norm", "miss"))
-            ids, asked = right.column("query").to_numpy(), _binary(right.column("qhalf"), np.float16, dim).astype(np.float32)
             found = []
-            for at in range(0, len(ids), 512):
-                mine, x = ids[at : at + 512], asked[at : at + 512]
-                s = q.scores(x, key[0].as_py(), codes)
-                if least is not None:
-                    i, j = np.nonzero(s >= (least - HALF_MARGIN - miss)[:, None])
-                else:
-                    s /= np.maximum(size, 1e-6)[:, None]
-                    top = np.argpartition(-s, min(depth, len(s)) - 1, axis=0)[: min(depth, len(s))]
-                    i, j = top.ravel(), np.tile(np.arange(len(mine)), len(top))
+            for at in range(0, right.num_rows, 1024):
+                part = right.slice(at, 1024)
+                mine, x, low = part.column("query").to_numpy(), _binary(part.column("qhalf"), np.float16, dim).astype(np.float32), part.column("floor").to_numpy()
+                asked = part.column("lists").combine_chunks()
+                whose, which = np.repeat(np.arange(len(mine)), np.diff(asked.offsets.to_numpy())), asked.flatten().to_numpy()
+                tables = [book @ x.T for book in q.books]
+                i, j, s = [], [], []
+                for one in np.unique(which):
+                    a, b = np.searchsorted(lists, one), np.searchsorted(lists, one, side="right")
+                    if a == b:
+                        continue
+                    at_list = whose[which == one]
+                    total = np.repeat((q.centres[one] @ x[at_list].T)[None, :], b - a, axis=0)
+                    for m, table in enumerate(tables):
+                        total += table[codes[a:b, m]][:, at_list]
+                    if bounded:
+                        p, r = np.nonzero(total >= low[at_list][None, :] - HALF_MARGIN - miss[a:b, None])
+                    else:
+                        total /= np.maximum(size[a:b], 1e-6)[:, None]
+                        top = np.argpartition(-total, min(depth, b - a) - 1, axis=0)[: min(depth, b - a)]
+                        p, r = top.ravel(), np.tile(np.arange(len(at_list)), len(top))
+                        s.append(total[p, r])
+                    i.append(p + a)
+                    j.append(at_list[r])
+                if not i:
+                    continue
+                i, j = np.concatenate(i), np.concatenate(j)
+                if not bounded:  # the best scores of each query go on, whatever their lists
+                    order = np.lexsort((-np.concatenate(s), j))
+                    i, j = i[order], j[order]
+                    first = np.arange(len(j)) - np.searchsorted(j, j) < depth
+                    i, j = i[first], j[first]
                 product = np.einsum("nd,nd->n", half[i], x[j])
-                if least is not None:
-                    good = product >= least - HALF_MARGIN
+                if bounded:
+                    good = product >= low[j] - HALF_MARGIN
                 else:  # the best of each query in this block
                     order = np.lexsort((-product, j))
                     i, j, product = i[order], j[order], product[order]
                     good = np.arange(len(j)) - np.searchsorted(j, j) < keep + 1
                 good &= cls[i] != mine[j]
                 found.append((mine[j[good]], cls[i[good]], product[good]))
+            if not found:
+                return _NO_PAIRS
             return pa.table(dict(zip(("cls", "other", "product"), (np.concatenate(c) for c in zip(*found)))))
 
-        pairs = items.groupBy("list", "a", "b").cogroup(searched.groupBy("list", "a", "b")).applyInArrow(_both(score), "cls long, other long, product float")
-        if least is None:
+        pairs = items.groupBy("group", "a", "b").cogroup(searched.groupBy("group", "a", "b")).applyInArrow(_both(score), "cls long, other long, product float")
+        if not bounded:
             nth = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("product"), "other"))
             pairs = pairs.withColumn("nth", nth).where(F.col("nth") <= keep).select("cls", "other")
         elif queries is None:  # found from either side
             pairs = pairs.select(F.least("cls", "other").alias("cls"), F.greatest("cls", "other").alias("other")).distinct()
-        own = self.classes.select("cls", F.col("v").alias("x"))
-        other = self.classes.select(F.col("cls").alias("other"), F.col("v").alias("y"))
-        exact = pairs.select("cls", "other").join(own, "cls").join(other, "other").select("cls", "other", V.cosine(F.col("x"), F.col("y")).alias("cosine"))
+        exact = self._exact(cut(pairs.select("cls", "other"), "pairs"))
         if least is None:
             return exact
         exact = cut(exact.where(F.round("cosine", 6) >= least), "near")
         return exact if queries is not None else exact.unionByName(exact.select(F.col("other").alias("cls"), F.col("cls").alias("other"), "cosine"))
 
-    def neighbours(self, queries: DataFrame | None = None, *, least: float | None = None, depth: int = 64, all_lists: bool = False) -> DataFrame:
-        """(id, other, cosine, pos): up to k others of each id of `queries` (column id), or of every id."""
+    def _exact(self, pairs: DataFrame) -> DataFrame:
+        """(cls, other, cosine in double): vectors are read only for the classes that are in a pair."""
+        wanted = pairs.select(F.explode(F.array("cls", "other")).alias("cls")).distinct().join(self.reps, "cls").select(F.col("cls").alias("id"), "direction")
+        there = self.usable.join(wanted.select("id"), "id", "left_semi")
+        vectors = cut(self._directed(there).join(wanted, ["id", "direction"]).groupBy("id").agg(F.first("v").alias("v")), "vectors")
+        own, other = vectors.select(F.col("id").alias("cls"), F.col("v").alias("x")), vectors.select(F.col("id").alias("other"), F.col("v").alias("y"))
+        return pairs.join(own, "cls").join(other, "other").select("cls", "other", V.cosine(F.col("x"), F.col("y")).alias("cosine"))
+
+    def neighbours(self, queries: DataFrame | None = None, *, least: float | None = None, depth: int = 128, exact: bool = False) -> DataFrame:
+        """(id, other, cosine, pos): up to k others of each id of `queries` (column id), or of every id.
+
+        `exact` is for a stated set of queries: what a search of the nearest lists
+        finds gives each query a least cosine, and with that all lists are scanned.
+        """
         asked = self.members if queries is None else self.members.join(queries.select("id").distinct(), "id", "left_semi")
-        near = self.near_classes(None if queries is None else asked, least=least, depth=depth, all_lists=all_lists)
+        if not exact:
+            return self._ranked(asked, self.near_classes(None if queries is None else asked, least=least, depth=depth))
+        asked = cut(asked, "asked")
+        first = self._ranked(asked, self.near_classes(asked, depth=depth)).groupBy("id").agg(F.min("cosine").alias("c"), F.count("*").alias("n"))
+        # Half a unit of the last decimal, as the cosine is rounded; a query with too few others takes all.
+        floor = F.when(F.col("n") == self.k, F.col("c") - 1e-6).otherwise(-2.0)
+        floors = cut(asked.join(first, "id", "left").select("cls", F.coalesce(floor, F.lit(-2.0)).alias("floor")), "floors")
+        return self._ranked(asked, self.near_classes(floors, all_lists=True))
+
+    def _ranked(self, asked: DataFrame, near: DataFrame) -> DataFrame:
         own = asked.select("cls").distinct().select("cls", F.col("cls").alias("other"), F.lit(1.0).alias("cosine"))
         options = near.unionByName(own).join(self.heads.toDF("other", "oid"), "other")
         options = options.select("cls", F.struct((-F.round("cosine", 6)).alias("minus"), F.col("oid").alias("id")).alias("o"))
@@ -252,13 +348,15 @@ class Index:
         return out.select("id", F.col("o.id").alias("other"), (-F.col("o.minus")).alias("cosine"), (F.col("pos") + 1).alias("pos"))
 
 
+_NO_PAIRS = pa.table({"cls": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "product": pa.array([], pa.float32())})
+
+
 def _both(score):
     """Only blocks with vectors on both sides have anything to score."""
+    none = _NO_PAIRS
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows and right.num_rows:
-            return score(key, left, right)
-        return pa.table({"cls": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "product": pa.array([], pa.float32())})
+        return score(key, left, right) if left.num_rows and right.num_rows else none
 
     return run
 

@@ -43,12 +43,13 @@ def test_recall_and_order(spark, monkeypatch):
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in mine.items()], SCHEMA)
     index = S.Index(df, "vid", "emb", dim=16, n_lists=4, k=10)
     got = {}
-    for r in index.neighbours(spark.range(0, 500, 10), all_lists=True).collect():
+    for r in index.neighbours(spark.range(0, 500, 10), exact=True).collect():
         got.setdefault(r.id, {})[r.pos] = (r.other, r.cosine)
     want = exact(mine, 10)
     assert set(got) == set(range(0, 500, 10))
     hits = sum(len({o for o, _ in found.values()} & {o for o, _ in want[i]}) for i, found in got.items())
     assert hits >= 0.9 * 10 * len(got)
+    assert all([found[p][0] for p in sorted(found)] == [o for o, _ in want[i]] for i, found in got.items())  # proven for a stated set
     for found in got.values():
         assert [k for k in sorted(found)] == list(range(1, 11))
         order = [(-found[p][1], found[p][0]) for p in sorted(found)]
