@@ -11,7 +11,7 @@ and finally by the exact cosine in double.
 With a least cosine, the cut is proven: an inner product differs from its score
 by at most the stored miss, so nothing at or above the least cosine in a
 scanned list is lost; what lies in lists that aren't scanned is. Without one, a
-query's best `depth` scores in a block of lists go on. `probes` is the number of
+query's best `depth` scores in each of its lists go on. `probes` is the number of
 lists scanned for a query, nearest first. For a stated set of queries `exact`
 scans all lists with the least cosine of what the nearest lists gave.
 
@@ -159,7 +159,7 @@ def fit(usable: DataFrame, dim: int, n_lists: int | None, books: int, entries: i
 class Index:
     """Classes of equal direction with their codes, and the members of each class."""
 
-    def __init__(self, df: DataFrame, id_col: str, vec_col: str, *, dim: int, k: int = 10, n_lists: int | None = None, probes: int = 8, books: int = 8, entries: int = 256, beam: int = 3, seed: int = 0):
+    def __init__(self, df: DataFrame, id_col: str, vec_col: str, *, dim: int, k: int = 10, n_lists: int | None = None, probes: int = 12, books: int = 8, entries: int = 256, beam: int = 3, seed: int = 0):
         self.spark, self.dim, self.k, self.probes = df.sparkSession, dim, k, probes
         self.usable = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & V.usable(F.col("v"), dim))
         quantiser = fit(self.usable, dim, n_lists, books, entries, beam, seed)
@@ -225,7 +225,7 @@ class Index:
 
         return queries.mapInArrow(run, "query long, qhalf binary, floor float, group int, lists array<int>")
 
-    def near_classes(self, queries: DataFrame | None = None, *, least: float | None = None, depth: int = 128, all_lists: bool = False) -> DataFrame:
+    def near_classes(self, queries: DataFrame | None = None, *, least: float | None = None, depth: int = 64, all_lists: bool = False) -> DataFrame:
         """(cls, other, cosine in double) of different classes; `queries` names the classes to search for (cls), and may give a least cosine of each (floor)."""
         own_floor = queries is not None and "floor" in queries.columns
         floor = F.lit(least if least is not None else 0.0).cast("float").alias("floor")
@@ -261,7 +261,7 @@ class Index:
                 asked = part.column("lists").combine_chunks()
                 whose, which = np.repeat(np.arange(len(mine)), np.diff(asked.offsets.to_numpy())), asked.flatten().to_numpy()
                 tables = [book @ x.T for book in q.books]
-                i, j, s = [], [], []
+                i, j = [], []
                 for one in np.unique(which):
                     a, b = np.searchsorted(lists, one), np.searchsorted(lists, one, side="right")
                     if a == b:
@@ -269,24 +269,18 @@ class Index:
                     at_list = whose[which == one]
                     total = np.repeat((q.centres[one] @ x[at_list].T)[None, :], b - a, axis=0)
                     for m, table in enumerate(tables):
-                        total += table[codes[a:b, m]][:, at_list]
+                        total += table[:, at_list][codes[a:b, m]]
                     if bounded:
                         p, r = np.nonzero(total >= low[at_list][None, :] - HALF_MARGIN - miss[a:b, None])
                     else:
                         total /= np.maximum(size[a:b], 1e-6)[:, None]
                         top = np.argpartition(-total, min(depth, b - a) - 1, axis=0)[: min(depth, b - a)]
                         p, r = top.ravel(), np.tile(np.arange(len(at_list)), len(top))
-                        s.append(total[p, r])
                     i.append(p + a)
                     j.append(at_list[r])
                 if not i:
                     continue
                 i, j = np.concatenate(i), np.concatenate(j)
-                if not bounded:  # the best scores of each query go on, whatever their lists
-                    order = np.lexsort((-np.concatenate(s), j))
-                    i, j = i[order], j[order]
-                    first = np.arange(len(j)) - np.searchsorted(j, j) < depth
-                    i, j = i[first], j[first]
                 product = np.einsum("nd,nd->n", half[i], x[j])
                 if bounded:
                     good = product >= low[j] - HALF_MARGIN
@@ -318,9 +312,18 @@ class Index:
         there = self.usable.join(wanted.select("id"), "id", "left_semi")
         vectors = cut(self._directed(there).join(wanted, ["id", "direction"]).groupBy("id").agg(F.first("v").alias("v")), "vectors")
         own, other = vectors.select(F.col("id").alias("cls"), F.col("v").alias("x")), vectors.select(F.col("id").alias("other"), F.col("v").alias("y"))
-        return pairs.join(own, "cls").join(other, "other").select("cls", "other", V.cosine(F.col("x"), F.col("y")).alias("cosine"))
+        dim = self.dim
+
+        def cosines(batches):
+            for batch in batches:
+                x, y = (_matrix(batch.column(c), dim).astype(np.float64) for c in ("x", "y"))
+                x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
+                cosine = np.einsum("nd,nd->n", x, y) / np.sqrt(np.einsum("nd,nd->n", x, x) * np.einsum("nd,nd->n", y, y))
+                yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("other"), pa.array(cosine)], ["cls", "other", "cosine"])
+
+        return pairs.join(own, "cls").join(other, "other").select("cls", "other", "x", "y").mapInArrow(cosines, "cls long, other long, cosine double")
 
-    def neighbours(self, queries: DataFrame | None = None, *, least: float | None = None, depth: int = 128, exact: bool = False) -> DataFrame:
+    def neighbours(self, queries: DataFrame | None = None, *, least: float | None = None, depth: int = 64, exact: bool = False) -> DataFrame:
         """(id, other, cosine, pos): up to k others of each id of `queries` (column id), or of every id.
 
         `exact` is for a stated set of queries: what a search of the nearest lists
