@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidentia.operators import sampling
-from evidentia.operators.fusion import FEATURES
+from evidentia.operators.fusion import FEATURES, logistic
 
 
 def weak_label(doc_id: Column, target: Column) -> Column:
@@ -63,6 +65,29 @@ def train_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 100):
     return LogisticRegression(regParam=1 / (c * total), standardization=False, weightCol="weight", maxIter=max_iter, tol=1e-7).fit(rows)
 
 
+@dataclass(frozen=True)
+class FusionModel:
+    """A trained logistic model of standardised features, as numbers: it is saved, loaded and scored without MLlib."""
+
+    coefficients: dict[str, float]
+    intercept: float
+    means: dict[str, float]
+    scales: dict[str, float]
+    meta: dict[str, float] = field(default_factory=dict)
+
+    def probability(self) -> Column:
+        return logistic(self.coefficients, self.intercept, self.means, self.scales)
+
+
+def fit_fusion(train: DataFrame, c: float = 1.0, max_iter: int = 100) -> FusionModel:
+    """The model of `train_logistic` over the examples' own statistics."""
+    stats = {r.feature: (r["mean"] or 0.0, r["std"] or 1.0) for r in feature_stats(train).collect()}  # ten rows
+    scaled = {f: (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - m) / s for f, (m, s) in stats.items()}
+    model = train_logistic(train.withColumns(scaled), c, max_iter)
+    of = dict(zip(FEATURES, map(float, model.coefficients)))
+    return FusionModel(of, float(model.intercept), {f: m for f, (m, _) in stats.items()}, {f: s for f, (_, s) in stats.items()}, {"c": c, "max_iter": float(max_iter)})
+
+
 def predicted(model, examples: DataFrame) -> DataFrame:
     """examples with `p`, the probability of the positive class."""
     vectors = examples.withColumn("features_vector", array_to_vector(F.array(*FEATURES)))

@@ -76,6 +76,20 @@ def fold_text(events: DataFrame) -> DataFrame:
     return numbered.groupBy("run_id").agg(F.count("md").alias("n_deltas"), F.array_join(F.transform(parts, lambda p: p["md"]), "").alias("text"), last.alias("last_n_chunks"))
 
 
+def run_records(events: DataFrame) -> DataFrame:
+    """One record a run: its answer (the texts of its events in order), its path up to the answer's end, its counts and times."""
+    events = cut(events, "events")
+    texts = fold_text(events).select("run_id", F.col("text").alias("answer"), "n_deltas")
+    paths = fold(events).select("run_id", "path")
+    made = run_times(events).join(texts, "run_id", "left").join(paths, "run_id", "left")
+    return made.select("run_id", F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("n_deltas", F.lit(0)).alias("n_deltas"), "n_events", "n_errors", "elapsed_ms", "busy_ms", F.coalesce("path", F.lit("")).alias("path"))
+
+
+def summarized(records: DataFrame, preview: int = 400) -> DataFrame:
+    """(run_id, answer_preview, n_events, ok, first_event): what a comparison of runs reads of each record."""
+    return records.select("run_id", F.substring("answer", 1, preview).alias("answer_preview"), "n_events", (F.col("n_errors") == 0).alias("ok"), F.substring_index("path", ">", 1).alias("first_event"))
+
+
 def followed(events: DataFrame) -> DataFrame:
     """(run_id, event, next_event) for every event that another of its run follows."""
     numbered = cut(sequenced(events).select("run_id", "seq", "event"), "numbered")

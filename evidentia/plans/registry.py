@@ -12,7 +12,7 @@ from evidentia.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("corpus", "search", "learning", "logs", "streams")
+MODULES: tuple[str, ...] = ("corpus", "search", "learning", "logs", "hybrid", "records", "streams")
 
 
 class Registry:

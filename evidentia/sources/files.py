@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
 from evidentia.operators import lexical
+from evidentia.operators.fusion import FEATURES
+from evidentia.operators.learning import FusionModel
 from evidentia.session import hadoop_path
 
 CHUNK_SCHEMA = (
@@ -21,6 +23,8 @@ EXAMPLE_SCHEMA = (
 INDEX_SCHEMAS = {
     "postings": "term string, chunk_id string, tf long, dl int, bucket int", "terms": "term string, df long, idf double", "lengths": "chunk_id string, dl int", "stats": "n_chunks long, n_tokens long, avgdl double",
 }
+RUN_SCHEMA = "run_id string, answer string, n_deltas long, n_events long, n_errors long, elapsed_ms long, busy_ms long, path string"
+MODEL_SCHEMA = "part string, name string, coefficient double, mean double, scale double"
 LOG_SCHEMA = "ts string, run_id string, event string, stage string, attrs string"
 
 
@@ -58,6 +62,48 @@ def write_split(examples: DataFrame, path: str) -> None:
     examples.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def append_runs(records: DataFrame, path: str) -> None:
+    records.select(*[part.split()[0] for part in RUN_SCHEMA.split(", ")]).write.mode("append").json(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Run records; log events that were written among them (a record always has n_events, an event never) and rows without a run are none."""
+    rows = spark.read.schema(RUN_SCHEMA).option("mode", "FAILFAST").json(path)
+    return rows.where("n_events is not null and run_id is not null")
+
+
+def save_model(spark: SparkSession, model: FusionModel, path: str) -> None:
+    """A table of the model's numbers: a row a feature, one for the intercept, and its meta data."""
+    rows = [("feature", f, w, model.means[f], model.scales[f]) for f, w in model.coefficients.items()]
+    rows += [("intercept", "intercept", model.intercept, None, None), *[("meta", k, float(v), None, None) for k, v in model.meta.items()]]
+    spark.createDataFrame(rows, MODEL_SCHEMA).coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_model(spark: SparkSession, path: str) -> FusionModel:
+    """A saved model; one of other features than FEATURES, or without an intercept, is an error."""
+    if not _written(spark, path):
+        raise FileNotFoundError(f"no model at {path}")
+    rows = spark.read.schema(MODEL_SCHEMA).option("mode", "FAILFAST").json(path).limit(1000).collect()
+    of = {r.name: r for r in rows if r.part == "feature"}
+    intercepts = [r.coefficient for r in rows if r.part == "intercept"]
+    if set(of) != set(FEATURES) or len(intercepts) != 1:
+        raise ValueError(f"{path} isn't a model of the fusion's features")
+    each = lambda c: {f: of[f][c] for f in FEATURES}
+    return FusionModel(each("coefficient"), intercepts[0], each("mean"), each("scale"), {r.name: r.coefficient for r in rows if r.part == "meta"})
+
+
+def load_or_build_vectors(rows: DataFrame, at: str, dim: int, metric: str = "cosine") -> dict[str, DataFrame]:
+    """The vector index at a place (vectors: the rows with column `v`; config: dim, metric, n_vectors), built only where it isn't there yet. One of another dimension or metric is an error."""
+    spark = rows.sparkSession
+    vectors = load_or_write(rows, f"{at}/vectors")
+    counted = vectors.agg(F.count("*").alias("n_vectors")).select(F.lit(dim).alias("dim"), F.lit(metric).alias("metric"), "n_vectors")
+    config = load_or_write(counted, f"{at}/config")
+    found = config.first()
+    if (found.dim, found.metric) != (dim, metric):
+        raise ValueError(f"the index at {at} is of {found.dim} values by {found.metric}")
+    return {"vectors": vectors, "config": config}
+
+
 def fingerprint(df: DataFrame) -> str:
     """A short text that changes with the rows, whatever their order."""
     row = df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
