@@ -9,6 +9,7 @@ from evidentia.operators.lexical import ranked
 
 #: The features of the learned fusion, in the order in which models expect them.
 FEATURES = ("bm25_score", "bm25_rank", "bm25_present", "bm25_rrf", "semantic_score", "semantic_rank", "semantic_present", "semantic_rrf", "best_rank", "best_rrf")
+#: Fixed value: the rank of what a run doesn't have.
 ABSENT_RANK = 9999
 
 

@@ -137,6 +137,22 @@ def average_precision(scored: DataFrame, by: list[str]) -> DataFrame:
     return sums.select(*by, F.when(F.col("m") > 0, F.col("s") / F.col("m")).alias("average_precision"))
 
 
+def evaluated(scored: DataFrame, by: list[str], threshold: float = 0.5, eps: float = 1e-6) -> DataFrame:
+    """(by, roc_auc, average_precision, log_loss, tn, fp, fn, tp) of scored rows (label, p of 6 decimals at most), from one count of the scores."""
+    below = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = _by_score(scored, by).withColumns({"lower": F.coalesce(F.sum("neg").over(below), F.lit(0)), "hit": F.sum("pos").over(above), "seen": F.sum(F.col("pos") + F.col("neg")).over(above)})
+    p, said = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col("p"))), F.col("p") >= threshold
+    count = lambda side, when: F.sum(F.when(when, F.col(side)).otherwise(0))
+    m, n = F.sum("pos"), F.sum("neg")
+    return counted.groupBy(*by).agg(
+        F.when((m > 0) & (n > 0), F.sum(F.col("pos") * (F.col("lower") + F.col("neg") / 2)) / (m * n)).alias("roc_auc"),
+        F.when(m > 0, F.sum(F.col("pos") * F.col("hit") / F.col("seen")) / m).alias("average_precision"),
+        (-F.sum(F.col("pos") * F.ln(p) + F.col("neg") * F.ln(1 - p)) / (m + n)).alias("log_loss"),
+        count("neg", ~said).alias("tn"), count("neg", said).alias("fp"), count("pos", ~said).alias("fn"), count("pos", said).alias("tp"),
+    )
+
+
 def log_loss(scored: DataFrame, by: list[str], eps: float = 1e-6) -> DataFrame:
     p = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col("p")))
     loss = -F.when(F.col("label") == 1, F.ln(p)).otherwise(F.ln(1 - p))

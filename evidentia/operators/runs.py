@@ -133,9 +133,13 @@ def clamp(x: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
+#: What correctness and groundedness count.
+WEIGHTS = (0.7, 0.3)
+
+
 def combined_metric(correctness: Column, groundedness: Column, valid: Column) -> Column:
     """0.7 of correctness and 0.3 of groundedness, both clamped; 0 where citations are invalid or a part is missing."""
-    value = 0.7 * F.coalesce(clamp(correctness), F.lit(0.0)) + 0.3 * F.coalesce(clamp(groundedness), F.lit(0.0))
+    value = WEIGHTS[0] * F.coalesce(clamp(correctness), F.lit(0.0)) + WEIGHTS[1] * F.coalesce(clamp(groundedness), F.lit(0.0))
     return F.when(F.coalesce(valid, F.lit(False)), value).otherwise(F.lit(0.0))
 
 

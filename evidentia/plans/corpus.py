@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
 from evidentia.operators import chunking
-from evidentia.plans.base import CHUNKS, SP, chunks, query_list, sql_lines, sql_strip, sql_tokens
+from evidentia.plans.base import CHUNKS, SP, chunks, sql_lines, sql_strip, sql_tokens
 from evidentia.plans.registry import Registry
 from evidentia.sources.tables import table
 
@@ -140,6 +140,7 @@ def extract_code(spark, d):
     return table(spark, d, "documents").select("doc_id", X.course_code(F.col("text"), F.col("title")).alias("code"))
 
 
+#: What is asked about each course.
 _TEMPLATES = ("{}", "{} assessment", "{} exam", "{} schedule")
 
 
@@ -152,15 +153,16 @@ def template_queries(spark, d):
     return codes.select("code", F.posexplode(made).alias("qi", "query"))
 
 
-@R.query("small_talk_flag", """select query_id, query, list_bool_or(list_transform(['hello', 'hi', 'hey', 'thanks', 'thank you', 'good morning', 'how are you'], lambda p: contains(lower(query), p))) as within,
-    regexp_matches(lower(query), '\\b(hello|hi|hey|thanks|thank you|good morning|how are you)\\b') as whole from query_list where query is not null
-    """.replace("list_bool_or(", "list_contains(").replace("contains(lower(query), p))) as within", "contains(lower(query), p)), true) as within"))
+@R.query("small_talk_flag", """select query_id, query, list_contains(list_transform(['hello', 'hi', 'hey', 'thanks', 'thank you', 'good morning', 'how are you'], lambda p: contains(lower(query), p)), true) as within,
+    regexp_matches(lower(query), '\\b(hello|hi|hey|thanks|thank you|good morning|how are you)\\b') as whole
+    from (select distinct query_id, query from lf_examples where query_id is not null and query is not null)""")
 def small_talk_flag(spark, d):
     """Greetings within words (as in `this`) and as whole words."""
     phrases = ("hello", "hi", "hey", "thanks", "thank you", "good morning", "how are you")
     lowered = F.lower("query")
     within = F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(lowered, p))
-    return query_list(spark, d).select("query_id", "query", within.alias("within"), lowered.rlike(r"\b(" + "|".join(phrases) + r")\b").alias("whole"))
+    queries = table(spark, d, "lf_examples").where("query_id is not null and query is not null").select("query_id", "query").distinct()
+    return queries.select("query_id", "query", within.alias("within"), lowered.rlike(r"\b(" + "|".join(phrases) + r")\b").alias("whole"))
 
 
 @R.query("page_text", rf"""select doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidentia.operators import fusion, learning, sampling
+from evidentia.operators import fusion, learning, runs, sampling
 from evidentia.operators.fusion import FEATURES
 from evidentia.plans import search
 from evidentia.plans.base import chunks, query_list
@@ -142,10 +142,8 @@ def lf_metrics(spark, d):
     """A logistic model trained on train's standardised features, evaluated on each split."""
     rows = cut(examples(spark, d), "examples")
     z = learning.standardized(rows, learning.feature_stats(rows.where("split = 'train'")))
-    p = cut(learning.predicted(learning.train_logistic(z.where("split = 'train'")), z).select("split", "label", "p"), "predicted")
-    out = learning.roc_auc(p, ["split"])
-    for more in (learning.average_precision(p, ["split"]), learning.log_loss(p, ["split"]), learning.confusion(p, ["split"])):
-        out = out.join(more, "split")
+    p = learning.predicted(learning.train_logistic(z.where("split = 'train'")), z).select("split", "label", "p")
+    out = learning.evaluated(p, ["split"])
     n = F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
     return out.withColumn("accuracy", (F.col("tp") + F.col("tn")) / n).withColumn("f1", 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
@@ -154,7 +152,5 @@ def lf_metrics(spark, d):
     r as (select *, row_number() over (partition by bucket order by md5('7:' || id), id) as nth from b where bucket <> 'neutral') select id, bucket from r where nth <= 4""")
 def minibatch_sample(spark, d):
     """Four examples of each extreme bucket by the order of a hash."""
-    from evidentia.operators import runs
-
     rows = scored(spark, d).select(F.concat_ws("/", "query_id", "chunk_id").alias("id"), runs.bucket(F.col("p")).alias("bucket")).where("bucket <> 'neutral'")
     return sampling.first_per_group(rows, ["bucket"], F.struct(sampling.seeded(7, F.col("id")), "id"), 4)

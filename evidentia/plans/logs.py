@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import text as X
 from evidentia.operators import context, runs
 from evidentia.plans import search
-from evidentia.plans.base import SP, query_list
+from evidentia.plans.base import SP
 from evidentia.plans.registry import Registry
 from evidentia.sources.tables import table
 
@@ -166,6 +166,7 @@ def chat_search(spark, d):
     return table(spark, d, "lf_examples").where(F.contains(F.lower("query"), F.lit("exam"))).groupBy("query_id", "query").agg(F.count("*").alias("n_rows"))
 
 
-@R.query("render_prompt", f"with q as (select query_id, query, target_doc_id from query_list where query_id is not null and query is not null) select query_id, 'Answer the question from the context and cite its blocks as [n]. Say so if the context has no answer.' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(target_doc_id, '') || chr(10) || chr(10) || 'Question: ' || query || chr(10) || 'Answer:' as prompt from q")
+@R.query("render_prompt", f"with q as (select distinct query_id, query, target_doc_id from lf_examples where query_id is not null and query is not null) select query_id, 'Answer the question from the context and cite its blocks as [n]. Say so if the context has no answer.' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(target_doc_id, '') || chr(10) || chr(10) || 'Question: ' || query || chr(10) || 'Answer:' as prompt from q")
 def render_prompt(spark, d):
-    return query_list(spark, d).select("query_id", context.prompt(F.col("target_doc_id"), F.col("query")).alias("prompt"))
+    asked = table(spark, d, "lf_examples").where("query_id is not null and query is not null").select("query_id", "query", "target_doc_id").distinct()
+    return asked.select("query_id", context.prompt(F.col("target_doc_id"), F.col("query")).alias("prompt"))

@@ -18,7 +18,12 @@ def stream_ingest_chunks(spark, d):
     return made.select("doc_id", "chunk_id", "text", *[F.col(f"metadata.{c}").alias(c) for c in fields])
 
 
-@R.query("stream_session_memory")
+_MEMORY = """with e as (select run_id, coalesce(strftime(cast(try_cast(ts as timestamptz) as timestamp), '%Y-%m-%d %H:%M:%S.%f'), '') as seen, coalesce(event, '') as event from log_events where run_id is not null),
+n as (select *, row_number() over (partition by run_id order by seen desc, event desc) as age from e)
+select run_id, count(*) as n_events, count(*) filter (event = 'error') as n_errors, string_agg(event, '>' order by seen, event) filter (age <= 12) as last_events from n group by 1"""
+
+
+@R.query("stream_session_memory", _MEMORY)
 def stream_session_memory(spark, d):
     """The last state of each run; a run that several batches touched has one row a batch."""
     rows = jobs.run_available(jobs.run_memory(spark, f"{d}/log_events.parquet"), "memory")

@@ -56,8 +56,11 @@ def ingest_chunks(spark: SparkSession, path: str) -> DataFrame:
 _MEMORY = "run_id string, n_events long, n_errors long, last_events string"
 
 
-def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Counts of a run and its twelve newest events; the state of a run is these, whatever its length."""
+def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, forget_after: int | None = None) -> Iterator[pd.DataFrame]:
+    """Counts of a run and its twelve newest events; the state of a run is these, whatever its length, and ends when no event comes for `forget_after` milliseconds."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     n, errors, newest = state.get if state.exists else (0, 0, [])
     newest = [tuple(x.split("\t", 1)) for x in newest]
     for batch in batches:
@@ -66,15 +69,24 @@ def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         newest += list(zip(batch["at"], batch["event"]))
         newest = sorted(newest)[-12:]
     state.update((n, errors, ["\t".join(x) for x in newest]))
+    if forget_after is not None:
+        state.setTimeoutDuration(forget_after)
     yield pd.DataFrame({"run_id": [key[0]], "n_events": [n], "n_errors": [errors], "last_events": [">".join(x[1] for x in newest)]})
 
 
-def run_memory(spark: SparkSession, path: str) -> DataFrame:
-    """For each run, after each batch with events of it: how many events and errors so far, and the newest twelve."""
-    rows = read_table(spark, path).where("run_id is not null")
+def run_memory(spark: SparkSession, path: str, forget_after: int | None = None, files_a_batch: int = 64) -> DataFrame:
+    """For each run, after each batch with events of it: how many rows of events and errors so far (repeated rows count), and the newest twelve.
+
+    With `forget_after` a run that has no event for so many milliseconds is
+    forgotten; if it goes on later, it begins anew. This is for streams that go
+    on; one that stops when all is read (`run_available`) never ends with it,
+    as Spark keeps on looking for runs to forget.
+    """
+    rows = read_table(spark, path, files_a_batch).where("run_id is not null")
     at = F.coalesce(F.date_format(F.try_to_timestamp("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(""))
     events = rows.select("run_id", at.alias("at"), F.coalesce("event", F.lit("")).alias("event"))
-    return events.groupBy("run_id").applyInPandasWithState(_remember, _MEMORY, "n long, errors long, newest array<string>", "append", GroupStateTimeout.NoTimeout)
+    remember = lambda key, batches, state: _remember(key, batches, state, forget_after)
+    return events.groupBy("run_id").applyInPandasWithState(remember, _MEMORY, "n long, errors long, newest array<string>", "append", GroupStateTimeout.NoTimeout if forget_after is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def window_counts(spark: SparkSession, path: str, width: str = "1 hour") -> DataFrame:

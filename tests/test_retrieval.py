@@ -163,3 +163,60 @@ def test_run_records_go_to_a_file_and_back(spark, tmp_path):
     short = {r.run_id: r for r in runs.summarized(made, 3).collect()}
     assert (short["r"].answer_preview, short["r"].ok, short["r"].first_event) == ("hel", False, "answer.delta") and short["s"].ok
     assert runs.run_records(runs.parse_log(spark.createDataFrame([], files.LOG_SCHEMA))).count() == 0
+
+
+def test_all_measures_from_one_count(spark):
+    random.seed(3)
+    rows = [(s, round(random.random(), 2), random.randint(0, 1) if s != "ones" else 1) for s in ("a", "b", "ones") for _ in range(200)]
+    scored = spark.createDataFrame(rows, "split string, p double, label int")
+    want = learning.roc_auc(scored, ["split"])
+    for more in (learning.average_precision(scored, ["split"]), learning.log_loss(scored, ["split"]), learning.confusion(scored, ["split"])):
+        want = want.join(more, "split")
+    got = {r.split: r for r in learning.evaluated(scored, ["split"]).collect()}
+    for r in want.collect():
+        assert all(got[r.split][c] == (r[c] if r[c] is None else pytest.approx(r[c], abs=1e-9)) for c in want.columns[1:])
+    assert got["ones"].roc_auc is None
+    assert learning.evaluated(scored.limit(0), ["split"]).count() == 0
+
+
+def test_memory_goes_on_from_file_to_file(spark, tmp_path):
+    from evidentia.streaming import jobs
+
+    at = str(tmp_path / "log.parquet")
+    for k in range(2):
+        spark.createDataFrame([(f"2031-03-01T00:00:0{k}Z", "r", "e", None, None)], files.LOG_SCHEMA).coalesce(1).write.mode("append").parquet(at)
+    assert sorted(r.n_events for r in jobs.run_available(jobs.run_memory(spark, at, files_a_batch=1), "memory").collect()) == [1, 2]
+
+
+class State:
+    """The state of one run, as the stream gives it."""
+
+    def __init__(self, timed_out, kept=None):
+        self.hasTimedOut, self.kept, self.after = timed_out, kept, None
+        self.exists = kept is not None
+
+    @property
+    def get(self):
+        return self.kept
+
+    def update(self, value):
+        self.kept = value
+
+    def remove(self):
+        self.kept = None
+
+    def setTimeoutDuration(self, after):  # noqa: N802
+        self.after = after
+
+
+def test_a_silent_run_is_forgotten():
+    import pandas as pd
+
+    from evidentia.streaming import jobs
+
+    state = State(False)
+    rows = pd.DataFrame({"at": ["1", "2"], "event": ["a", "error"]})
+    out = list(jobs._remember(("r",), iter([rows]), state, 99))
+    assert out[0].iloc[0].tolist() == ["r", 2, 1, "a>error"] and state.after == 99 and state.kept is not None
+    gone = State(True, state.kept)
+    assert list(jobs._remember(("r",), iter([]), gone, 99)) == [] and gone.kept is None
