@@ -61,7 +61,7 @@ def p2_found(spark, d):
 
 @R.query("p2_neighbours", _P2_FOUND.split("select distinct")[0] + "select a as vec_id, b as other_id, c as cosine, cast(n as integer) as pos from t where n <= 10 and a % 50 = 0")
 def p2_neighbours(spark, d):
-    """The stated queries are the ids divisible by 50; all lists are scanned for them, in blocks, with the least cosine that their nearest lists give."""
+    """The stated queries are the ids divisible by 50; for them every list that may hold more is scanned, in blocks, with the least cosine that their nearest lists give."""
     vectors = table(spark, d, "chunk_vectors")
     asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"))
     return similar.Index(vectors, "vec_id", "embedding", dim=64).neighbours(asked, exact=True).toDF("vec_id", "other_id", "cosine", "pos")

@@ -8,23 +8,26 @@ and with all codebook entries are computed once, the score of a vector is a sum
 of looked-up numbers. What the scores let through is reranked by the vectors,
 and finally by the exact cosine in double.
 
-With a least cosine, the cut is proven: an inner product differs from its score
-by at most the stored miss, so nothing at or above the least cosine in a
-scanned list is lost; what lies in lists that aren't scanned is. Without one, a
-query's best `depth` scores in each of its lists go on. `probes` is the number of
-lists scanned for a query, nearest first. For a stated set of queries `exact`
-scans all lists with the least cosine of what the nearest lists gave.
+With a least cosine, both cuts are proven and nothing at or above it is lost.
+A vector is in the list of its nearest centre, so a list can hold only vectors on
+its side of the plane midway between its centre and the query's own; a list
+whose plane is farther from the query than the least cosine allows isn't scanned.
+Within a list, an inner product differs from its score by at most the stored
+miss. When every vector is a query, a pair is sought from one side only, which
+the two lists' numbers tell. Without a least cosine, a query's best `depth` scores
+in each of its `probes` nearest lists go on. For a stated set of queries `exact`
+takes the cosines of what the nearest lists gave as each query's least cosine.
 
 The number of lists grows with the square root of the vectors up to MOST_LISTS,
 as the centres are fitted on the driver from a bounded sample; beyond some 67
-million vectors lists grow instead, and a query scores `probes` of MOST_LISTS of
-all vectors.
+million vectors lists grow instead, and a query's work with them.
 
 Vectors of equal direction form one class, represented by its smallest id. A
 class of any size is one entry of the index; of its members only the first
 k + 1, in the order of ties, can be among anybody's k, and every member
-receives its own result. Lists and query sets larger than `BLOCK` are cut into
-blocks, so no task holds a whole list.
+receives its own result. Groups of lists and query sets larger than `BLOCK` are cut into
+blocks, so no task holds a whole list; within a task `SLICE` vectors of a list are
+scored at once.
 
 Defined cases: vectors that are null, of another dimension, with a value that
 is null or not finite, or all zero take part in nothing; null ids neither; a
@@ -49,7 +52,7 @@ from evidentia.session import cut
 
 #: The bound of the sample that the centres and codebooks are fitted on.
 SAMPLE_PER_LIST, LEAST_SAMPLE, MOST_LISTS = 24, 8192, 1 << 14
-BLOCK, LISTS_A_GROUP = 8192, 32
+BLOCK, SLICE, LISTS_A_GROUP = 1 << 16, 8192, 32
 #: Reranking uses vectors of 16-bit floats; an inner product of theirs is off by less than this.
 HALF_MARGIN = 2e-3
 
@@ -93,6 +96,28 @@ class Quantiser:
         top = np.argpartition(-score, n - 1, axis=1)[:, :n]
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
 
+    def reached(self, x: np.ndarray, own: np.ndarray, radius: np.ndarray, one_way: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) for every list that may hold a vector within the row's radius; `own` is the row's list.
+
+        A vector of another list scores it at least as high as the own centre. From
+        here to there the difference of the scores changes by at most the distance
+        of the centres times the distance gone. `one_way` keeps one of the two
+        directions between any two lists, groups first.
+        """
+        square = (self.centres.astype(np.float64) ** 2).sum(1)
+        score = x @ self.centres.T - (square / 2).astype(np.float32)
+        there, at = np.unique(own, return_inverse=True)
+        apart = np.sqrt(np.maximum(square[there][:, None] + square - 2 * (self.centres[there].astype(np.float64) @ self.centres.T), 0.0)).astype(np.float32)
+        behind = score[np.arange(len(x)), own][:, None] - score
+        row, which = np.nonzero(behind <= (radius + HALF_MARGIN)[:, None].astype(np.float32) * apart[at] + 1e-4)
+        if one_way:
+            mine, yours = self.group[own[row]], self.group[which]
+            same = mine == yours
+            mine, yours = np.where(same, own[row], mine), np.where(same, which, yours)
+            good = (mine == yours) | ((mine < yours) == ((mine + yours) % 2 == 0))
+            row, which = row[good], which[good]
+        return row, which.astype(np.int32)
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(list, codes, norm of the sum, length of the miss) by beam search."""
         lists = self.nearest(x, 1)[:, 0]
@@ -201,42 +226,46 @@ class Index:
 
         return vectors.mapInArrow(run, "id long, v array<float>, direction binary")
 
-    def _searched(self, queries: DataFrame, all_lists: bool) -> DataFrame:
+    def _searched(self, queries: DataFrame, bounded: bool, one_way: bool) -> DataFrame:
         """(query, qhalf, floor, group, lists): a row for each group of lists that has one of the query's."""
         shared, dim, probes = self.quantiser, self.dim, self.probes
 
         def run(batches):
             q = shared.value
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                if all_lists:
-                    near = np.tile(np.arange(len(q.centres), dtype=np.int32), (batch.num_rows, 1))
-                else:
-                    near = q.nearest(_binary(batch.column("half"), np.float16, dim).astype(np.float32), probes)
+                for at in range(0, batch.num_rows, 512):
+                    yield groups_of(q, batch.slice(at, 512))
+
+        def groups_of(q, batch):
+            x = _binary(batch.column("half"), np.float16, dim).astype(np.float32)
+            if bounded:  # half a unit of the last decimal, as the cosine is rounded
+                radius = np.sqrt(np.maximum(2.0 - 2.0 * (batch.column("floor").to_numpy().astype(np.float64) - 1e-6), 0.0))
+                row, lists = q.reached(x, batch.column("list").to_numpy(), radius, one_way)
+            else:
+                near = q.nearest(x, probes)
                 row, lists = np.repeat(np.arange(len(near)), near.shape[1]), near.ravel()
-                group = q.group[lists]
-                order = np.lexsort((lists, group, row))
-                row, lists, group = row[order], lists[order], group[order]
-                new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (group[1:] != group[:-1]))))
-                ends = pa.array(np.append(new, len(row)).astype(np.int32))
-                at = pa.array(row[new])
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("cls", "half", "floor")] + [pa.array(group[new].astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(lists))], ["query", "qhalf", "floor", "group", "lists"])
+            group = q.group[lists]
+            order = np.lexsort((lists, group, row))
+            row, lists, group = row[order], lists[order], group[order]
+            new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (group[1:] != group[:-1]))))
+            ends = pa.array(np.append(new, len(row)).astype(np.int32))
+            at = pa.array(row[new])
+            return pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("cls", "half", "floor")] + [pa.array(group[new].astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(lists))], ["query", "qhalf", "floor", "group", "lists"])
 
         return queries.mapInArrow(run, "query long, qhalf binary, floor float, group int, lists array<int>")
 
-    def near_classes(self, queries: DataFrame | None = None, *, least: float | None = None, depth: int = 64, all_lists: bool = False) -> DataFrame:
+    def near_classes(self, queries: DataFrame | None = None, *, least: float | None = None, depth: int = 64) -> DataFrame:
         """(cls, other, cosine in double) of different classes; `queries` names the classes to search for (cls), and may give a least cosine of each (floor)."""
         own_floor = queries is not None and "floor" in queries.columns
         floor = F.lit(least if least is not None else 0.0).cast("float").alias("floor")
         if queries is None:
-            searched = self.classes.select("cls", "half", floor)
+            searched = self.classes.select("cls", "half", "list", floor)
         elif own_floor:
-            searched = self.classes.select("cls", "half").join(queries.groupBy("cls").agg(F.min("floor").cast("float").alias("floor")), "cls")
+            searched = self.classes.select("cls", "half", "list").join(queries.groupBy("cls").agg(F.min("floor").cast("float").alias("floor")), "cls")
         else:
-            searched = self.classes.join(queries.select("cls").distinct(), "cls", "left_semi").select("cls", "half", floor)
+            searched = self.classes.join(queries.select("cls").distinct(), "cls", "left_semi").select("cls", "half", "list", floor)
         bounded = least is not None or own_floor
-        searched = self._searched(searched.select("cls", "half", "floor"), all_lists)
+        searched = self._searched(searched.select("cls", "half", "list", "floor"), bounded, queries is None)
         groups = [] if self.quantiser.value is None else self.quantiser.value.group.tolist()
         # One row a group of lists: fewer than the quantiser, which is broadcast as well, has centres.
         named = self.spark.createDataFrame(list(enumerate(groups)), "list int, group int")
@@ -261,30 +290,36 @@ class Index:
                 asked = part.column("lists").combine_chunks()
                 whose, which = np.repeat(np.arange(len(mine)), np.diff(asked.offsets.to_numpy())), asked.flatten().to_numpy()
                 tables = [book @ x.T for book in q.books]
-                i, j = [], []
+                i, j, product = [], [], []
                 for one in np.unique(which):
-                    a, b = np.searchsorted(lists, one), np.searchsorted(lists, one, side="right")
-                    if a == b:
-                        continue
+                    first, end = np.searchsorted(lists, one), np.searchsorted(lists, one, side="right")
                     at_list = whose[which == one]
-                    total = np.repeat((q.centres[one] @ x[at_list].T)[None, :], b - a, axis=0)
-                    for m, table in enumerate(tables):
-                        total += table[:, at_list][codes[a:b, m]]
-                    if bounded:
-                        p, r = np.nonzero(total >= low[at_list][None, :] - HALF_MARGIN - miss[a:b, None])
-                    else:
-                        total /= np.maximum(size[a:b], 1e-6)[:, None]
-                        top = np.argpartition(-total, min(depth, b - a) - 1, axis=0)[: min(depth, b - a)]
-                        p, r = top.ravel(), np.tile(np.arange(len(at_list)), len(top))
-                    i.append(p + a)
-                    j.append(at_list[r])
+                    for a in range(first, end, SLICE):
+                        b = min(a + SLICE, end)
+                        total = np.repeat((q.centres[one] @ x[at_list].T)[None, :], b - a, axis=0)
+                        for m, table in enumerate(tables):
+                            total += table[:, at_list][codes[a:b, m]]
+                        if bounded:
+                            p, r = np.nonzero(total >= low[at_list][None, :] - HALF_MARGIN - miss[a:b, None])
+                        else:
+                            total /= np.maximum(size[a:b], 1e-6)[:, None]
+                            top = np.argpartition(-total, min(depth, b - a) - 1, axis=0)[: min(depth, b - a)]
+                            p, r = top.ravel(), np.tile(np.arange(len(at_list)), len(top))
+                        p, r = p + a, at_list[r]
+                        for c in range(0, len(p), 1 << 17):
+                            pp, rr = p[c : c + (1 << 17)], r[c : c + (1 << 17)]
+                            value = np.einsum("nd,nd->n", half[pp], x[rr])
+                            if bounded:
+                                high = value >= low[rr] - HALF_MARGIN
+                                pp, rr, value = pp[high], rr[high], value[high]
+                            i.append(pp)
+                            j.append(rr)
+                            product.append(value)
                 if not i:
                     continue
-                i, j = np.concatenate(i), np.concatenate(j)
-                product = np.einsum("nd,nd->n", half[i], x[j])
-                if bounded:
-                    good = product >= low[j] - HALF_MARGIN
-                else:  # the best of each query in this block
+                i, j, product = np.concatenate(i), np.concatenate(j), np.concatenate(product)
+                good = np.ones(len(i), bool)
+                if not bounded:  # the best of each query in this block
                     order = np.lexsort((-product, j))
                     i, j, product = i[order], j[order], product[order]
                     good = np.arange(len(j)) - np.searchsorted(j, j) < keep + 1
@@ -308,7 +343,8 @@ class Index:
 
     def _exact(self, pairs: DataFrame) -> DataFrame:
         """(cls, other, cosine in double): vectors are read only for the classes that are in a pair."""
-        wanted = pairs.select(F.explode(F.array("cls", "other")).alias("cls")).distinct().join(self.reps, "cls").select(F.col("cls").alias("id"), "direction")
+        # Written first, so that its size decides how the vectors are joined with it.
+        wanted = cut(pairs.select(F.explode(F.array("cls", "other")).alias("cls")).distinct().join(self.reps, "cls").select(F.col("cls").alias("id"), "direction"), "wanted")
         there = self.usable.join(wanted.select("id"), "id", "left_semi")
         vectors = cut(self._directed(there).join(wanted, ["id", "direction"]).groupBy("id").agg(F.first("v").alias("v")), "vectors")
         own, other = vectors.select(F.col("id").alias("cls"), F.col("v").alias("x")), vectors.select(F.col("id").alias("other"), F.col("v").alias("y"))
@@ -327,7 +363,7 @@ class Index:
         """(id, other, cosine, pos): up to k others of each id of `queries` (column id), or of every id.
 
         `exact` is for a stated set of queries: what a search of the nearest lists
-        finds gives each query a least cosine, and with that all lists are scanned.
+        finds gives each query a least cosine, and with that every list that may hold more.
         """
         asked = self.members if queries is None else self.members.join(queries.select("id").distinct(), "id", "left_semi")
         if not exact:
@@ -337,7 +373,7 @@ class Index:
         # Half a unit of the last decimal, as the cosine is rounded; a query with too few others takes all.
         floor = F.when(F.col("n") == self.k, F.col("c") - 1e-6).otherwise(-2.0)
         floors = cut(asked.join(first, "id", "left").select("cls", F.coalesce(floor, F.lit(-2.0)).alias("floor")), "floors")
-        return self._ranked(asked, self.near_classes(floors, all_lists=True))
+        return self._ranked(asked, self.near_classes(floors))
 
     def _ranked(self, asked: DataFrame, near: DataFrame) -> DataFrame:
         own = asked.select("cls").distinct().select("cls", F.col("cls").alias("other"), F.lit(1.0).alias("cosine"))

@@ -71,6 +71,27 @@ def test_codes_come_closer_with_more_books():
     assert q.encode(x)[3].mean() <= S.Quantiser(x, 4, 4, 32, 1).encode(x)[3].mean() + 1e-6
 
 
+def test_no_list_that_may_hold_a_near_vector_is_left_out():
+    rng = np.random.default_rng(3)
+    x = S._units(np.concatenate((rng.normal(size=(400, 8)), np.repeat(rng.normal(size=(4, 8)), 100, 0) + 0.2 * rng.normal(size=(400, 8))))).astype(np.float32)
+    q = S.Quantiser(x, 40, 2, 16, 2)
+    own = q.encode(x)[0]
+    cosine = x.astype(float) @ x.astype(float).T
+    for least in (0.98, 0.9, 0.6, -1.0):
+        radius = np.full(len(x), np.sqrt(2 - 2 * least))
+        row, lists = q.reached(x, own, radius, False)
+        there = np.zeros((len(x), 40), bool)
+        there[row, lists] = True
+        a, b = np.nonzero(cosine >= least)
+        assert there[a, own[b]].all()
+        row, lists = q.reached(x, own, radius, True)
+        half = np.zeros((len(x), 40), bool)
+        half[row, lists] = True
+        assert not (half & ~there).any() and (half[a, own[b]] | half[b, own[a]]).all()
+        assert half.sum() < there.sum()
+    assert there.all()  # any cosine: all lists
+
+
 @pytest.mark.parametrize("rows", [[], [(1, [1.0, 0.0], 1, "x")], [(1, None, 1, "x")]])
 def test_hardly_any_vectors(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
