@@ -282,23 +282,25 @@ class Index:
             order = np.argsort(left.column("list").to_numpy(), kind="stable")
             left = left.take(pa.array(order))
             lists, cls, size, miss = (left.column(c).to_numpy() for c in ("list", "cls", "norm", "miss"))
-            codes, half = _binary(left.column("codes"), np.uint8, len(q.books)), _binary(left.column("half"), np.float16, dim).astype(np.float32)
+            places = np.concatenate(([0], np.cumsum([len(book) for book in q.books])[:-1]))
+            codes, half = _binary(left.column("codes"), np.uint8, len(q.books)) + places, _binary(left.column("half"), np.float16, dim).astype(np.float32)
             found = []
             for at in range(0, right.num_rows, 1024):
                 part = right.slice(at, 1024)
                 mine, x, low = part.column("query").to_numpy(), _binary(part.column("qhalf"), np.float16, dim).astype(np.float32), part.column("floor").to_numpy()
                 asked = part.column("lists").combine_chunks()
                 whose, which = np.repeat(np.arange(len(mine)), np.diff(asked.offsets.to_numpy())), asked.flatten().to_numpy()
-                tables = [book @ x.T for book in q.books]
+                tables = np.concatenate([book @ x.T for book in q.books])
                 i, j, product = [], [], []
                 for one in np.unique(which):
                     first, end = np.searchsorted(lists, one), np.searchsorted(lists, one, side="right")
                     at_list = whose[which == one]
+                    centre, table = q.centres[one] @ x[at_list].T, tables.take(at_list, axis=1)
                     for a in range(first, end, SLICE):
                         b = min(a + SLICE, end)
-                        total = np.repeat((q.centres[one] @ x[at_list].T)[None, :], b - a, axis=0)
-                        for m, table in enumerate(tables):
-                            total += table[:, at_list][codes[a:b, m]]
+                        total = np.repeat(centre[None, :], b - a, axis=0)
+                        for m in range(len(q.books)):
+                            total += table.take(codes[a:b, m], axis=0)
                         if bounded:
                             p, r = np.nonzero(total >= low[at_list][None, :] - HALF_MARGIN - miss[a:b, None])
                         else:
