@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import _text
+from evidentia.llm.graph import connected_components
 from evidentia.session import cut
 
 #: Entries of one column that a single block multiplies with each other.
@@ -343,8 +344,6 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, **options)
     group_id is the smallest class id of the group; n_links counts the other
     ids, copies included, that the id is directly linked to.
     """
-    from evidentia.operators.graph import connected_components
-
     members, pairs = similar_classes(df, id_col, text_col, **options)
     members, pairs = cut(members, "members"), cut(pairs.select("cls_a", "cls_b"), "pairs")
     sizes = members.groupBy("cls").agg(F.count("*").alias("n"))
