@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
 from evidentia.functions import vectors as V
-from evidentia.operators import chunking, context, dense, fusion, graph, learning, lexical, rerank, runs, sampling
+from evidentia.operators import chunking, context, dense, fusion, learning, lexical, rerank, runs, sampling
 
 
 def one(spark, expression, value, kind="string"):
@@ -282,35 +282,6 @@ def test_buckets(spark):
     assert [r[0] for r in df.select(runs.bucket(F.col("m"))).collect()] == ["negative", "negative", "neutral", "positive", "negative"]
 
 
-def test_components(spark):
-    rng = random.Random(6)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 470)] + [(5, 5), (None, 3)]
-    parent = {}
-
-    def find(x):
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        if a is not None and b is not None:
-            a, b = sorted((find(a), find(b)))
-            parent[b] = a
-    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in parent}
-    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-def test_components_that_do_not_converge_are_an_error(spark):
-    from evidentia.operators.graph import connected_components
-
-    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
-    with pytest.raises(RuntimeError):
-        connected_components(chain, max_rounds=1)
-    assert {r.component for r in connected_components(chain).collect()} == {0}
-
-
 def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
     from types import SimpleNamespace
 
