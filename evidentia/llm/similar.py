@@ -53,6 +53,8 @@ from evidentia.session import cut
 #: The bound of the sample that the centres and codebooks are fitted on.
 SAMPLE_PER_LIST, LEAST_SAMPLE, MOST_LISTS = 24, 8192, 1 << 14
 BLOCK, SLICE, LISTS_A_GROUP = 1 << 16, 8192, 32
+#: Products of vectors and centres are made for so many pairs at once: whatever the number of lists, they take some MB.
+CELLS = 1 << 21
 #: Reranking uses vectors of 16-bit floats; an inner product of theirs is off by less than this.
 HALF_MARGIN = 2e-3
 
@@ -63,38 +65,68 @@ class Quantiser:
     def __init__(self, sample: np.ndarray, n_lists: int, books: int, entries: int, beam: int, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.beam = beam
-        sample = sample.astype(np.float32)
+        sample = sample.astype(np.float32, copy=False)
         self.centres = self._fit(sample, n_lists, rng, 8)
         # Lists whose centres are near each other form a group: most of a query's lists are in a few groups.
         self.group = self._closest(self.centres, self._fit(self.centres, max(1, len(self.centres) // LISTS_A_GROUP), rng, 8)).astype(np.int32)
-        left = sample - self.centres[self.nearest(sample, 1)[:, 0]]
+        left = sample.copy()
+        self._subtract(left, self.centres)
         self.books = []
         for _ in range(books):
             book = self._fit(left, entries, rng, 6)
             self.books.append(book)
-            left = left - book[self._closest(left, book)]
+            self._subtract(left, book)
+
+    @staticmethod
+    def _scored(x: np.ndarray, book: np.ndarray):
+        """(row, scores) of as many rows at once as CELLS allows; the nearest entry has the highest score."""
+        half, step = (book * book).sum(1) / 2, max(1, min(8192, CELLS // len(book)))
+        for i in range(0, len(x), step):
+            score = x[i : i + step] @ book.T
+            score -= half
+            yield i, score
 
     @staticmethod
     def _closest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
-        half = (book * book).sum(1) / 2
-        return np.concatenate([np.argmax(x[i : i + 8192] @ book.T - half, axis=1) for i in range(0, len(x), 8192)])
+        own = np.empty(len(x), np.int64)
+        for i, score in Quantiser._scored(x, book):
+            own[i : i + len(score)] = np.argmax(score, axis=1)
+        return own
+
+    @staticmethod
+    def _subtract(x: np.ndarray, book: np.ndarray) -> None:
+        """Take from each row, in place, the entry nearest to it."""
+        own = Quantiser._closest(x, book)
+        for i in range(0, len(x), 8192):
+            x[i : i + 8192] -= book[own[i : i + 8192]]
 
     def _fit(self, x: np.ndarray, k: int, rng, rounds: int) -> np.ndarray:
         k = min(k, len(x))
         book = x[rng.choice(len(x), k, replace=False)].copy()
         for _ in range(rounds):
             own = self._closest(x, book)
-            order = np.argsort(own, kind="stable")
-            there, starts = np.unique(own[order], return_index=True)
-            book[there] = np.add.reduceat(x[order], starts, axis=0) / np.bincount(own, minlength=k)[there][:, None]
+            sums = np.zeros(book.shape)
+            for i in range(0, len(x), 8192):
+                part = own[i : i + 8192]
+                order = np.argsort(part, kind="stable")
+                there, starts = np.unique(part[order], return_index=True)
+                sums[there] += np.add.reduceat(x[i : i + 8192][order], starts, axis=0)
+            count = np.bincount(own, minlength=k)
+            there = np.flatnonzero(count)
+            book[there] = sums[there] / count[there][:, None]
         return book
 
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n nearest lists of each vector, nearest first."""
         n = min(n, len(self.centres))
-        score = x @ self.centres.T - (self.centres * self.centres).sum(1) / 2
-        top = np.argpartition(-score, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
+        if n == 1:
+            return self._closest(x, self.centres)[:, None].astype(np.int32)
+        out = np.empty((len(x), n), np.int32)
+        for i, score in self._scored(x, self.centres):
+            np.negative(score, out=score)
+            top = np.argpartition(score, n - 1, axis=1)[:, :n]
+            out[i : i + len(score)] = np.take_along_axis(top, np.argsort(np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
+        return out
 
     def reached(self, x: np.ndarray, own: np.ndarray, radius: np.ndarray, one_way: bool) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) for every list that may hold a vector within the row's radius; `own` is the row's list.
@@ -177,8 +209,18 @@ def fit(usable: DataFrame, dim: int, n_lists: int | None, books: int, entries: i
     bound = max(LEAST_SAMPLE, SAMPLE_PER_LIST * n_lists)
     # Chosen by a hash of the id, about 1.1 times the bound at most; the rest is cut off at the bound.
     chosen = usable.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, 1.1 * bound / n) * (1 << 30))).select("v").limit(bound)
-    sample = _matrix(chosen.toArrow().column("v"), dim)
-    return Quantiser(_units(sample), n_lists, books, entries, beam, seed)
+    if bound > LEAST_SAMPLE:  # the limit's one partition would pass through the driver's heap as a whole
+        chosen = chosen.repartition(math.ceil(bound / LEAST_SAMPLE))
+    return Quantiser(_unit_sample(chosen.toArrow(), dim), n_lists, books, entries, beam, seed)
+
+
+def _unit_sample(table: pa.Table, dim: int) -> np.ndarray:
+    """The unit vectors of column v as 32-bit floats; beside them only a block is held in double."""
+    sample, at = np.empty((table.num_rows, dim), np.float32), 0
+    for batch in table.to_batches(max_chunksize=8192):
+        sample[at : at + batch.num_rows] = _units(_matrix(batch.column("v"), dim))
+        at += batch.num_rows
+    return sample
 
 
 class Index:
@@ -233,8 +275,9 @@ class Index:
         def run(batches):
             q = shared.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    yield groups_of(q, batch.slice(at, 512))
+                step = max(1, min(512, CELLS // len(q.centres)))
+                for at in range(0, batch.num_rows, step):
+                    yield groups_of(q, batch.slice(at, step))
 
         def groups_of(q, batch):
             x = _binary(batch.column("half"), np.float16, dim).astype(np.float32)

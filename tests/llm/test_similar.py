@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -71,6 +73,30 @@ def test_codes_come_closer_with_more_books():
     assert q.encode(x)[3].mean() <= S.Quantiser(x, 4, 4, 32, 1).encode(x)[3].mean() + 1e-6
 
 
+def test_memory_of_fitting_does_not_grow_with_lists_times_sample():
+    x = S._units(np.random.default_rng(5).normal(size=(8192, 8))).astype(np.float32)
+    tracemalloc.start()
+    q = S.Quantiser(x, 2048, 2, 16, 2)
+    near = q.nearest(x, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48e6  # 8192 x 2048 products alone are 67 MB
+    assert len(q.centres) == 2048 and near.shape == (8192, 5)
+    score = x[::64] @ q.centres.T - (q.centres * q.centres).sum(1) / 2
+    np.testing.assert_allclose(np.take_along_axis(score, near[::64], 1), -np.sort(-score, axis=1)[:, :5], atol=1e-5)
+    assert (q.nearest(x, 1)[:, 0] == near[:, 0]).mean() > 0.999
+
+
+def test_a_sample_of_several_parts_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(S, "LEAST_SAMPLE", 64)
+    monkeypatch.setattr(S, "Quantiser", lambda sample, n_lists, *rest: (sample, n_lists))
+    mine = np.random.default_rng(6).normal(size=(300, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(mine)], "id long, v array<float>")
+    sample, n_lists = S.fit(df, 4, 16, 2, 16, 2, 0)
+    assert n_lists == 16 and sample.dtype == np.float32 and sample.shape == (300, 4)
+    np.testing.assert_array_equal(sample[np.lexsort(sample.T)], (u := S._units(mine).astype(np.float32))[np.lexsort(u.T)])
+
+
 def test_no_list_that_may_hold_a_near_vector_is_left_out():
     rng = np.random.default_rng(3)
     x = S._units(np.concatenate((rng.normal(size=(400, 8)), np.repeat(rng.normal(size=(4, 8)), 100, 0) + 0.2 * rng.normal(size=(400, 8))))).astype(np.float32)
