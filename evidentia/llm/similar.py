@@ -3,10 +3,10 @@
 A unit vector is written as the sum of a list's centre and one entry of each
 full-dimensional residual codebook. Codes are found by beam search over the
 codebooks; with them the norm of the sum and the length of what it misses are
-stored. A query scores a list by lookup tables: its products with the centre
-and with all codebook entries are computed once, the score of a vector is a sum
-of looked-up numbers. What the scores let through is reranked by the vectors,
-and finally by the exact cosine in double.
+stored. A query's score of a vector is its product with that sum; the sums of a
+block are made once, and a list is scored for all its queries by one matrix
+product. What the scores let through is reranked by the vectors, and finally by
+the exact cosine in double.
 
 With a least cosine, both cuts are proven and nothing at or above it is lost.
 A vector is in the list of its nearest centre, so a list can hold only vectors on
@@ -40,6 +40,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,8 @@ SAMPLE_PER_LIST, LEAST_SAMPLE, MOST_LISTS = 24, 8192, 1 << 14
 BLOCK, SLICE, LISTS_A_GROUP = 1 << 16, 8192, 32
 #: Products of vectors and centres are made for so many pairs at once: whatever the number of lists, they take some MB.
 CELLS = 1 << 21
+#: Queries are searched in as many passes as keep the rows that one sends to groups of lists below the larger of so many and so many a vector.
+ROWS_A_PASS, ROWS_A_VECTOR = 1 << 21, 2
 #: Reranking uses vectors of 16-bit floats; an inner product of theirs is off by less than this.
 HALF_MARGIN = 2e-3
 
@@ -140,8 +143,10 @@ class Quantiser:
         score = x @ self.centres.T - (square / 2).astype(np.float32)
         there, at = np.unique(own, return_inverse=True)
         apart = np.sqrt(np.maximum(square[there][:, None] + square - 2 * (self.centres[there].astype(np.float64) @ self.centres.T), 0.0)).astype(np.float32)
-        behind = score[np.arange(len(x)), own][:, None] - score
-        row, which = np.nonzero(behind <= (radius + HALF_MARGIN)[:, None].astype(np.float32) * apart[at] + 1e-4)
+        mine, reach = score[np.arange(len(x)), own], apart[at]
+        reach *= (radius + HALF_MARGIN)[:, None].astype(np.float32)
+        reach += score
+        row, which = np.nonzero(reach >= (mine - np.float32(1e-4))[:, None])
         if one_way:
             mine, yours = self.group[own[row]], self.group[which]
             same = mine == yours
@@ -171,6 +176,13 @@ class Quantiser:
         at = rows[:, 0]
         return lists, codes[at, pick], np.linalg.norm(x - left[at, pick], axis=1), np.sqrt(miss[at, pick])
 
+    def decode(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The sums that the codes stand for: their products with a query are the sums of its products with centre and entries."""
+        out = self.centres[lists]
+        for m, book in enumerate(self.books):
+            out += book[codes[:, m]]
+        return out
+
     def scores(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """(vector, query) products of the coded vectors of one list with the queries."""
         total = np.repeat((self.centres[which] @ queries.T)[None, :], len(codes), axis=0)
@@ -179,6 +191,17 @@ class Quantiser:
         return total
 
 
+def _cut(df: DataFrame, label: str) -> DataFrame:
+    """`cut`, after which the plan's shuffles are removed, as nothing else reads them: they hold the vectors many times over."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        return cut(df, label)
+    finally:
+        spark.conf.set(key, before)
+
+
 def _matrix(column, dim: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
@@ -247,12 +270,13 @@ class Index:
                     yield pa.RecordBatch.from_arrays(columns, ["direction", "list", "codes", "half", "norm", "miss"])
 
         # An id that comes with several vectors keeps the one of the smallest direction.
-        once = cut(self._directed(self.usable).groupBy("id").agg(F.min("direction").alias("direction")), "directions")
-        self.reps = cut(once.groupBy("direction").agg(F.min("id").alias("cls")), "reps")
-        self.members = cut(once.join(self.reps, "direction").select("id", "cls"), "members")
+        once = _cut(self._directed(self.usable).groupBy("id").agg(F.min("direction").alias("direction")), "directions")
+        self.reps = _cut(once.groupBy("direction").agg(F.min("id").alias("cls")), "reps")
+        self.members = _cut(once.join(self.reps, "direction").select("id", "cls"), "members")
         coded = self.usable.select("v").mapInArrow(encode, "direction binary, list int, codes binary, half binary, norm float, miss float")
         first = coded.groupBy("direction").agg(F.first(F.struct("list", "codes", "half", "norm", "miss")).alias("c"))
-        self.classes = cut(first.join(self.reps, "direction").select("cls", "c.*"), "classes")
+        # In order of lists, as what `reached` computes for a batch is for each list in it.
+        self.classes = _cut(first.join(self.reps, "direction").select("cls", "c.*").sortWithinPartitions("list"), "classes")
         nth = F.row_number().over(Window.partitionBy("cls").orderBy("id"))
         self.heads = self.members.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("cls", "id")
 
@@ -308,15 +332,18 @@ class Index:
         else:
             searched = self.classes.join(queries.select("cls").distinct(), "cls", "left_semi").select("cls", "half", "list", floor)
         bounded = least is not None or own_floor
-        searched = self._searched(searched.select("cls", "half", "list", "floor"), bounded, queries is None)
+        searched = searched.select("cls", "half", "list", "floor")
+        reached = lambda some: self._searched(some, bounded, queries is None)
         groups = [] if self.quantiser.value is None else self.quantiser.value.group.tolist()
         # One row a group of lists: fewer than the quantiser, which is broadcast as well, has centres.
         named = self.spark.createDataFrame(list(enumerate(groups)), "list int, group int")
         items = self.classes.select("list", "cls", "codes", "half", "norm", "miss").join(F.broadcast(named), "list")
-        parts = lambda df, name: df.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-        blocks = F.broadcast(cut(parts(items, "n").join(parts(searched, "m"), "group"), "blocks"))
+        counted = lambda df, name: df.groupBy("group").agg(F.count("*").alias(name))
+        counts = _cut(counted(items, "items").join(counted(reached(searched), "rows"), "group"), "blocks")
+        total = counts.agg(F.sum("items").alias("items"), F.sum("rows").alias("rows")).first()
+        passes = max(1, math.ceil((total["rows"] or 0) / max(ROWS_A_PASS, ROWS_A_VECTOR * (total["items"] or 0))))
+        blocks = F.broadcast(counts.select("group", F.ceil(F.col("items") / BLOCK).cast("int").alias("n"), F.ceil(F.col("rows") / (BLOCK * passes)).cast("int").alias("m")))
         items = items.join(blocks, "group").select("group", F.pmod(F.xxhash64("cls"), "n").alias("a"), F.explode(F.expr("sequence(0L, m - 1L)")).alias("b"), "list", "cls", "codes", "half", "norm", "miss")
-        searched = searched.join(blocks, "group").select("group", F.explode(F.expr("sequence(0L, n - 1L)")).alias("a"), F.pmod(F.xxhash64("query"), "m").alias("b"), "query", "qhalf", "floor", "lists")
         shared, dim, k = self.quantiser, self.dim, self.k
         keep = k + 4
 
@@ -325,27 +352,25 @@ class Index:
             order = np.argsort(left.column("list").to_numpy(), kind="stable")
             left = left.take(pa.array(order))
             lists, cls, size, miss = (left.column(c).to_numpy() for c in ("list", "cls", "norm", "miss"))
-            places = np.concatenate(([0], np.cumsum([len(book) for book in q.books])[:-1]))
-            codes, half = _binary(left.column("codes"), np.uint8, len(q.books)) + places, _binary(left.column("half"), np.float16, dim).astype(np.float32)
+            half = _binary(left.column("half"), np.float16, dim).astype(np.float32)
+            coded = q.decode(lists, _binary(left.column("codes"), np.uint8, len(q.books)))
             found = []
             for at in range(0, right.num_rows, 1024):
                 part = right.slice(at, 1024)
                 mine, x, low = part.column("query").to_numpy(), _binary(part.column("qhalf"), np.float16, dim).astype(np.float32), part.column("floor").to_numpy()
                 asked = part.column("lists").combine_chunks()
                 whose, which = np.repeat(np.arange(len(mine)), np.diff(asked.offsets.to_numpy())), asked.flatten().to_numpy()
-                tables = np.concatenate([book @ x.T for book in q.books])
                 i, j, product = [], [], []
                 for one in np.unique(which):
                     first, end = np.searchsorted(lists, one), np.searchsorted(lists, one, side="right")
                     at_list = whose[which == one]
-                    centre, table = q.centres[one] @ x[at_list].T, tables.take(at_list, axis=1)
+                    asking, least_of = x[at_list].T, low[at_list] - np.float32(HALF_MARGIN)
                     for a in range(first, end, SLICE):
                         b = min(a + SLICE, end)
-                        total = np.repeat(centre[None, :], b - a, axis=0)
-                        for m in range(len(q.books)):
-                            total += table.take(codes[a:b, m], axis=0)
+                        total = coded[a:b] @ asking
                         if bounded:
-                            p, r = np.nonzero(total >= low[at_list][None, :] - HALF_MARGIN - miss[a:b, None])
+                            total += miss[a:b, None]
+                            p, r = np.nonzero(total >= least_of)
                         else:
                             total /= np.maximum(size[a:b], 1e-6)[:, None]
                             top = np.argpartition(-total, min(depth, b - a) - 1, axis=0)[: min(depth, b - a)]
@@ -374,24 +399,31 @@ class Index:
                 return _NO_PAIRS
             return pa.table(dict(zip(("cls", "other", "product"), (np.concatenate(c) for c in zip(*found)))))
 
-        pairs = items.groupBy("group", "a", "b").cogroup(searched.groupBy("group", "a", "b")).applyInArrow(_both(score), "cls long, other long, product float")
-        if not bounded:
-            nth = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("product"), "other"))
-            pairs = pairs.withColumn("nth", nth).where(F.col("nth") <= keep).select("cls", "other")
-        elif queries is None:  # found from either side
-            pairs = pairs.select(F.least("cls", "other").alias("cls"), F.greatest("cls", "other").alias("other")).distinct()
-        exact = self._exact(cut(pairs.select("cls", "other"), "pairs"))
+        def passed(number):
+            """The pairs of one pass, which has all that is found for its queries."""
+            some = searched.where(F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(passes)) == number) if passes > 1 else searched
+            rows = reached(some).join(blocks, "group").select("group", F.explode(F.expr("sequence(0L, n - 1L)")).alias("a"), F.pmod(F.xxhash64("query"), "m").alias("b"), "query", "qhalf", "floor", "lists")
+            pairs = items.groupBy("group", "a", "b").cogroup(rows.groupBy("group", "a", "b")).applyInArrow(_both(score), "cls long, other long, product float")
+            if not bounded:
+                nth = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("product"), "other"))
+                pairs = pairs.withColumn("nth", nth).where(F.col("nth") <= keep)
+            elif queries is None:  # found from either side
+                pairs = pairs.select(F.least("cls", "other").alias("cls"), F.greatest("cls", "other").alias("other")).distinct()
+            return _cut(pairs.select("cls", "other"), "pairs")
+
+        pairs = reduce(DataFrame.unionByName, [passed(number) for number in range(passes)])
+        exact = self._exact(pairs.distinct() if passes > 1 else pairs)
         if least is None:
             return exact
-        exact = cut(exact.where(F.round("cosine", 6) >= least), "near")
+        exact = _cut(exact.where(F.round("cosine", 6) >= least), "near")
         return exact if queries is not None else exact.unionByName(exact.select(F.col("other").alias("cls"), F.col("cls").alias("other"), "cosine"))
 
     def _exact(self, pairs: DataFrame) -> DataFrame:
         """(cls, other, cosine in double): vectors are read only for the classes that are in a pair."""
         # Written first, so that its size decides how the vectors are joined with it.
-        wanted = cut(pairs.select(F.explode(F.array("cls", "other")).alias("cls")).distinct().join(self.reps, "cls").select(F.col("cls").alias("id"), "direction"), "wanted")
+        wanted = _cut(pairs.select(F.explode(F.array("cls", "other")).alias("cls")).distinct().join(self.reps, "cls").select(F.col("cls").alias("id"), "direction"), "wanted")
         there = self.usable.join(wanted.select("id"), "id", "left_semi")
-        vectors = cut(self._directed(there).join(wanted, ["id", "direction"]).groupBy("id").agg(F.first("v").alias("v")), "vectors")
+        vectors = _cut(self._directed(there).join(wanted, ["id", "direction"]).groupBy("id").agg(F.first("v").alias("v")), "vectors")
         own, other = vectors.select(F.col("id").alias("cls"), F.col("v").alias("x")), vectors.select(F.col("id").alias("other"), F.col("v").alias("y"))
         dim = self.dim
 
@@ -413,11 +445,11 @@ class Index:
         asked = self.members if queries is None else self.members.join(queries.select("id").distinct(), "id", "left_semi")
         if not exact:
             return self._ranked(asked, self.near_classes(None if queries is None else asked, least=least, depth=depth))
-        asked = cut(asked, "asked")
+        asked = _cut(asked, "asked")
         first = self._ranked(asked, self.near_classes(asked, depth=depth)).groupBy("id").agg(F.min("cosine").alias("c"), F.count("*").alias("n"))
         # Half a unit of the last decimal, as the cosine is rounded; a query with too few others takes all.
         floor = F.when(F.col("n") == self.k, F.col("c") - 1e-6).otherwise(-2.0)
-        floors = cut(asked.join(first, "id", "left").select("cls", F.coalesce(floor, F.lit(-2.0)).alias("floor")), "floors")
+        floors = _cut(asked.join(first, "id", "left").select("cls", F.coalesce(floor, F.lit(-2.0)).alias("floor")), "floors")
         return self._ranked(asked, self.near_classes(floors))
 
     def _ranked(self, asked: DataFrame, near: DataFrame) -> DataFrame:

@@ -39,6 +39,21 @@ def test_pairs_equal_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("least", [0.9, None])
+def test_passes_over_queries_find_the_same(spark, monkeypatch, least):
+    mine = vectors(400, seed=2)
+    index = S.Index(spark.createDataFrame([(i, v, 1, "x") for i, v in mine.items()], SCHEMA), "vid", "emb", dim=16, n_lists=64, probes=64)
+    rows = lambda: sorted(map(tuple, index.neighbours(least=least).collect()))
+    written, before = [], rows()
+    monkeypatch.setattr(S, "ROWS_A_PASS", 150)
+    monkeypatch.setattr(S, "ROWS_A_VECTOR", 0)
+    monkeypatch.setattr(S, "cut", lambda df, label, real=S.cut: written.append(label) or real(df, label))
+    assert rows() == before and len(before) > 500
+    assert written.count("pairs") > 2
+    if least:  # proven
+        assert {(r[0], r[1]) for r in before} == {(i, j) for i, near in exact(mine, 10).items() for j, c in near if c >= least}
+
+
 def test_recall_and_order(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 100)
     mine = vectors(500, seed=1)
